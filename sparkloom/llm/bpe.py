@@ -103,41 +103,30 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "seq", "ids"])
 
-    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reassemble(dictionary: pa.Table, documents: pa.Table) -> pa.Table:
         table = token_bytes(vocab)
         kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
-        block, parts, index = None, [], None
-        for batch in batches:
-            blocks, seqs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = []
-            docs_, ids_, refs_, digests = (batch.column(i) for i in (2, 3, 4, 5))
-            for i in range(batch.num_rows):
-                if blocks[i] != block:
-                    block, parts, index = blocks[i], [], None
-                if seqs[i] >= 0:
-                    parts.append(ids_[i].as_py())
-                    continue
-                if index is None:
-                    flat = np.frombuffer(b"".join(parts), kind).astype(np.int32)
-                    lengths = np.fromiter((len(x) for x in parts), np.int64, len(parts)) // kind().itemsize
-                    index = flat, lengths, np.cumsum(lengths) - lengths
-                packed = refs_[i].as_py()
-                if packed is None:
-                    rows.append((docs_[i].as_py(), None, None, None))
-                    continue
-                flat, lengths, firsts = index
-                refs = _unpack(packed)
-                n = lengths[refs]
-                total = int(n.sum())
-                at = np.repeat(firsts[refs] - (np.cumsum(n) - n), n) + np.arange(total)
-                ids = flat[at] if total else np.zeros(0, np.int32)
-                back = b"".join([table[x] for x in ids.tolist()])
-                rows.append((docs_[i].as_py(), ids, total, xxhash.xxh3_64_intdigest(back) - (1 << 63) == digests[i].as_py()))
-                if len(rows) >= 256:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
+        order = np.argsort(dictionary.column("seq").to_numpy(), kind="stable")
+        parts = dictionary.column("ids").take(pa.array(order)).to_pylist()
+        flat = np.frombuffer(b"".join(parts), kind).astype(np.int32)
+        lengths = np.fromiter((len(x) for x in parts), np.int64, len(parts)) // kind().itemsize
+        firsts = np.cumsum(lengths) - lengths
+        rows, out = [], []
+        for doc, packed, digest in zip(*(documents.column(c).to_pylist() for c in ("doc_id", "refs", "digest"))):
+            if packed is None:
+                rows.append((doc, None, None, None))
+                continue
+            refs = _unpack(packed)
+            n = lengths[refs]
+            total = int(n.sum())
+            at = np.repeat(firsts[refs] - (np.cumsum(n) - n), n) + np.arange(total)
+            ids = flat[at] if total else np.zeros(0, np.int32)
+            back = b"".join([table[x] for x in ids.tolist()])
+            rows.append((doc, ids, total, xxhash.xxh3_64_intdigest(back) - (1 << 63) == digest))
+            if len(rows) >= 1024:
+                out.append(_rows(rows))
+                rows = []
+        return pa.Table.from_batches(out + [_rows(rows)] if rows else out)
 
     exploded = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(explode, _EXPLODED)
     coded = (
@@ -146,12 +135,9 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
         .repartition("word")
         .sortWithinPartitions("word")
         .mapInArrow(words_to_ids, "block bigint, seq bigint, ids binary")
-        .selectExpr("block", "seq", "cast(null as bigint) doc_id", "ids", "cast(null as binary) refs", "cast(null as bigint) digest")
     )
-    kept = exploded.where("word is null").selectExpr("block", "seq", "doc_id", "cast(null as binary) ids", "refs", "digest")
-    # within a block the dictionary comes in order, then the documents
-    together = coded.union(kept).repartition("block").sortWithinPartitions("block", F.expr("seq < 0"), "seq")
-    return together.mapInArrow(reassemble, ENCODED)
+    kept = exploded.where("word is null").select("block", "doc_id", "refs", "digest")
+    return coded.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(reassemble, ENCODED)
 
 
 def _pack(refs: np.ndarray) -> bytes:
