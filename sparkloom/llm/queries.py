@@ -53,5 +53,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_bpe, op4_quality, op5_neighbours, op6_url_filter, op7_maximal_repeats, op8_decontamination, op9_simhash, op10_secrets)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # stands at the top of the repository
+
+    return run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_bpe, op4_quality, op5_neighbours, op6_url_filter, op7_maximal_repeats, op8_decontamination, op9_simhash, op10_secrets, pipeline)}
 ORACLES: dict[str, str] = {"op6_url_filter": urls.oracle()}

@@ -107,8 +107,8 @@ targets AS (
                                regexp_extract(html, '<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=["'']?(https?://[^"'' >]+)', 1, 'i')]) AS t
   FROM raw WHERE html IS NOT NULL AND url IS NOT NULL),
 edges AS (SELECT DISTINCT a, {key_t} AS b FROM targets WHERE t <> ''),
-both AS (SELECT a, b FROM edges WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM edges WHERE a <> '' AND b <> '' AND a <> b),
-reach(node, seen) AS (SELECT a, a FROM both UNION SELECT r.node, b.b FROM reach r JOIN both b ON b.a = r.seen),
+twoway AS (SELECT a, b FROM edges WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM edges WHERE a <> '' AND b <> '' AND a <> b),
+reach(node, seen) AS (SELECT a, a FROM twoway UNION SELECT r.node, b.b FROM reach r JOIN twoway b ON b.a = r.seen),
 aliases AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
 keys AS (SELECT url_key FROM raw WHERE url_key <> '' UNION SELECT node FROM aliases),
 rules(action, kind, value) AS (VALUES {rules}),
