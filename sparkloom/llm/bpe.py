@@ -34,8 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import slices
-from .vocab import DEFAULT_PATTERN, DEFAULT_VOCAB, encoding, token_bytes
+from .arrowtext import _BYTE, range_hash, slices
+from .pretokens import pretokens
+from .vocab import DEFAULT_PATTERN, DEFAULT_VOCAB, byte_table, encoding, token_bytes
 
 BLOCK_BYTES = 24 << 20
 ENCODED = "doc_id bigint, token_ids array<int>, n_tokens int, round_trip boolean"
@@ -53,20 +54,47 @@ def _raw(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def split_column(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[list[np.ndarray | None], list[bytes | None]]:
+    """For each text the references of its pre-tokens into `known`, which grows, and its bytes; None for null."""
+    if pattern == DEFAULT_PATTERN:
+        try:
+            raw, starts, ends, first = pretokens(col)
+        except UnicodeDecodeError:
+            return _split_slowly(col, pattern, known)
+        data = np.frombuffer(raw, np.uint8)
+        _, at, which = np.unique(range_hash(_BYTE[data], starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        # pre-tokens tile the bytes, so each can be held against the one that its hash stands for
+        if (size[at][which] == size).all() and (data == data[np.repeat(starts[at][which] - starts, size) + np.arange(len(data))]).all():
+            own = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(starts[at].tolist(), ends[at].tolist())), np.uint32, len(at))
+            refs = own[which] if len(at) else np.zeros(0, np.uint32)
+            bounds = np.append(starts, len(raw))[first].tolist()
+            first = first.tolist()
+            valid = col.is_valid().to_pylist()
+            return [refs[i:j] if ok else None for i, j, ok in zip(first, first[1:], valid)], [raw[i:j] if ok else None for i, j, ok in zip(bounds, bounds[1:], valid)]
+    return _split_slowly(col, pattern, known)
+
+
+def _split_slowly(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[list[np.ndarray | None], list[bytes | None]]:
+    """The same by the regular expression itself: for other patterns, broken text and words whose hashes collide."""
+    split = _splitter(pattern)
+    texts = col.to_pylist()
+    refs = [None if t is None else np.fromiter((known.setdefault(_raw(w), len(known)) for w in split(t)), np.uint32) for t in texts]
+    return refs, [None if t is None else _raw(t) for t in texts]
+
+
 def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """ENCODED for docs(doc_id, text): ids of each document and whether decoding them gave its text again."""
     names = [x.split()[0] for x in _EXPLODED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split = _splitter(pattern)
         base = TaskContext.get().partitionId() << 32
         block, known, seen = 0, {}, 0
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            words = [_raw(w) for w in known]
+            words = list(known)
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
                 n = len(part)
@@ -77,16 +105,12 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
 
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if text is None:
-                        rows.append((base + block, -1, doc, None, None, None))
-                        continue
-                    found = split(text)
-                    refs = np.fromiter((known.setdefault(w, len(known)) for w in found), np.uint32, len(found))
-                    rows.append((base + block, -1, doc, None, _pack(refs), xxhash.xxh3_64_intdigest(_raw(text)) - (1 << 63)))
-                    seen += len(text)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                refs, raws = split_column(part.column(1), pattern, known)
+                n = part.num_rows
+                packed = [None if r is None else _pack(r) for r in refs]
+                digests = [None if r is None else xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raws]
+                seen += sum(len(r) for r in raws if r is not None)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base + block)), pa.array(np.full(n, -1)), part.column(0), pa.nulls(n, pa.binary()), pa.array(packed, pa.binary()), pa.array(digests, pa.int64())], names)
                 if seen >= block_bytes:
                     yield from dictionary()
                     block, known, seen = block + 1, {}, 0
@@ -104,8 +128,8 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "seq", "ids"])
 
     def reassemble(dictionary: pa.Table, documents: pa.Table) -> pa.Table:
-        table = token_bytes(vocab)
-        kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
+        lengths_of, starts_of, flat_bytes = byte_table(vocab)
+        kind = np.uint16 if len(lengths_of) <= 1 << 16 else np.uint32
         order = np.argsort(dictionary.column("seq").to_numpy(), kind="stable")
         parts = dictionary.column("ids").take(pa.array(order)).to_pylist()
         flat = np.frombuffer(b"".join(parts), kind).astype(np.int32)
@@ -121,7 +145,8 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
             total = int(n.sum())
             at = np.repeat(firsts[refs] - (np.cumsum(n) - n), n) + np.arange(total)
             ids = flat[at] if total else np.zeros(0, np.int32)
-            back = b"".join([table[x] for x in ids.tolist()])
+            size = lengths_of[ids]
+            back = flat_bytes[np.repeat(starts_of[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
             rows.append((doc, ids, total, xxhash.xxh3_64_intdigest(back) - (1 << 63) == digest))
             if len(rows) >= 1024:
                 out.append(_rows(rows))

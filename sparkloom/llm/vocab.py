@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
+
 #: Where the files lie unless a caller names another path.
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level vocabulary's own pre-token pattern.
@@ -32,3 +34,11 @@ def token_bytes(path: str) -> list[bytes]:
     for b, i in known.items():
         out[i] = b
     return out
+
+
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as (lengths, starts, bytes end to end)."""
+    table = token_bytes(path)
+    size = np.fromiter(map(len, table), np.int64, len(table))
+    return size, np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
