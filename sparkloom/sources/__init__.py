@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers: file trees, ignore rules, manifests, diffs, code-intelligence indexes."""
