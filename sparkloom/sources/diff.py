@@ -19,14 +19,15 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
 
 def hunks(diffs: DataFrame) -> DataFrame:
     """(diff_id, path, hunk, old_start, old_count, new_start, new_count, added, removed); a count left out is 1."""
-    rows = diff_lines(diffs).where("hunk > 0")
     head = F.col("text").rlike(HUNK)
+    # the header of the next file isn't part of the hunk before it
+    rows = diff_lines(diffs).where((F.col("hunk") > 0) & ~F.col("text").rlike(r"^(?:\+\+\+|---) "))
 
     def part(k: int):
         x = F.max(F.when(head, F.coalesce(F.nullif(F.regexp_extract("text", HUNK, k), F.lit("")), F.lit("1"))))
         return x.cast("int")
 
-    body = ~head & ~F.col("text").rlike(r"^(?:\+\+\+|---) ")
+    body = ~head
     return rows.groupBy("diff_id", "path", "hunk").agg(part(1).alias("old_start"), part(2).alias("old_count"), part(3).alias("new_start"), part(4).alias("new_count"), F.count_if(body & F.col("text").startswith("+")).alias("added"), F.count_if(body & F.col("text").startswith("-")).alias("removed"))
 
 

@@ -26,7 +26,9 @@ def debounce(changes: DataFrame, gap: str = "1 second", by: str | None = None, l
     """
     if changes.isStreaming:
         changes = changes.withWatermark("ts", late or gap)
-    keys = [F.session_window("ts", gap).alias("w")] + ([F.col(by)] if by else [])
+    # a stream needs a key beside the session; this one is the same for all rows
+    one = [F.substring("path", 1, 0).alias("_all")] if changes.isStreaming else []
+    keys = [F.session_window("ts", gap).alias("w"), *([F.col(by)] if by else one)]
     out = changes.groupBy(*keys).agg(F.count("*").alias("n_changes"), F.array_sort(F.collect_set("path")).alias("paths"), F.max("ts").alias("last_change"))
     return out.select(*([by] if by else []), F.col("w.start").alias("started"), "last_change", "n_changes", "paths")
 
