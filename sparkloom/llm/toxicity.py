@@ -11,8 +11,11 @@ that, so quoting abuse alone stays below the threshold.
 Beside the given words the lexicon is learned from at most `max_labelled`
 labelled documents (the least by hash of doc_id, so the choice is the same at
 any partitioning): words and stems that occur in toxic documents of many
-different word-set signatures and in almost no clean one. A signature is the
-least word hash of a document; near copies share it and count once.
+different word-set signatures and in almost no clean one. A signature is made of
+the four least word hashes of a document; near copies share it and count once. Stems that
+are `min_lift` times as frequent in toxic documents as in clean ones, but do
+occur in clean ones, are weak: a hit counts `WEAK`, and a form of the word that
+comes again in the text counts once, so one such word alone accuses nobody.
 
 Defined cases: null or empty text is not toxic; null doc_id is carried; a
 repeated row is judged each time; conflicting labels count as toxic; null labels
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import nsmallest
 from zlib import crc32
 
 import pyarrow as pa
@@ -39,11 +43,14 @@ QUOTED = 0.2
 MAX_LABELLED = 6_000
 MIN_SUPPORT = 8
 MAX_CLEAN = 0.02
+MIN_LIFT = 4.0
+WEAK = 0.5
 VERDICT = "doc_id bigint, toxicity double, n_hits int, n_quoted int, terms array<string>, toxic boolean"
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]')
-Lexicon = tuple[tuple[str, ...], tuple[str, ...]]
+#: words, stems, weak stems (may be left out)
+Lexicon = tuple[tuple[str, ...], ...]
 
 
 class LexiconAutomaton:
@@ -53,11 +60,14 @@ class LexiconAutomaton:
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, str] = {}
         self.stem: dict[int, str] = {}
+        self.weak: dict[int, str] = {}
         self.allow: list[int] = [0]
         for term in lexicon[0]:
             self._add(term, self.word, 0 if len(term) < 5 else 1)
         for term in lexicon[1]:
             self._add(term, self.stem, 0)
+        for term in lexicon[2] if len(lexicon) > 2 else ():
+            self._add(term, self.weak, 0)
         self.ids: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.accept: list[tuple[str, float] | None] = []
@@ -91,8 +101,8 @@ class LexiconAutomaton:
         best: tuple[str, float] | None = None
         absorbing = False
         for node, e in key:
-            if e == 0 and node in self.stem:
-                best, absorbing = (self.stem[node], 1.0), True
+            if e == 0 and (node in self.stem or node in self.weak):
+                best, absorbing = ((self.stem[node], 1.0) if node in self.stem else (self.weak[node], WEAK)), True
                 break
             if node in self.word:
                 term = self.word[node]
@@ -147,7 +157,7 @@ def judge(text: str, match, memo: dict, window: int, quoted: float) -> tuple[flo
         return None
     spans = [m.span() for m in _QUOTES.finditer(low)]
     hits, terms, n_quoted = [], set(), 0
-    guessed: set[str] = set()  # a misspelling that comes again is a word of the text, and counts once
+    guessed: set[str] = set()  # a misspelling or a weak hit that comes again is a word of the text, and counts once
     at = 0
     for i, m in enumerate(_WORD.finditer(low)):
         x = memo[m.group()]
@@ -181,10 +191,11 @@ def learn_lexicon(
     max_labelled: int = MAX_LABELLED,
     min_support: int = MIN_SUPPORT,
     max_clean: float = MAX_CLEAN,
+    min_lift: float = MIN_LIFT,
 ) -> Lexicon:
-    """(words, stems): the seeds and what the labelled documents teach."""
+    """(words, stems, weak stems): the seeds and what the labelled documents teach."""
     if labels is None:
-        return tuple(sorted(seeds)), ()
+        return tuple(sorted(seeds)), (), ()
     sample = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -202,7 +213,7 @@ def learn_lexicon(
                 found = set(_WORD.findall(text.lower()))
                 if not found:
                     continue
-                sig = min(crc32(w.encode("utf-8", "replace")) for w in found)
+                sig = hash(tuple(nsmallest(4, (crc32(w.encode("utf-8", "replace")) for w in found))))
                 for w in found:
                     for k in range(4, min(8, len(w)) + 1):
                         key = w[:k], False, sig
@@ -214,20 +225,26 @@ def learn_lexicon(
                 term, whole, sig = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(whole), pa.array(sig, pa.int64()), pa.array(list(rows.values()), pa.int32())], ["term", "whole", "sig", "toxic"])
 
-    counted = (
-        texts.join(ids, "doc_id")
-        .select(F.col("toxic").cast("int"), "text")
-        .mapInArrow(terms, "term string, whole boolean, sig bigint, toxic int")
-        .groupBy("term", "whole", "sig")
-        .agg(F.max("toxic").alias("toxic"))
-        .groupBy("term", "whole")
-        .agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-        .where((F.col("bad") >= min_support) & (F.col("n") - F.col("bad") <= max_clean * F.col("n")))
-    )
+    per_text = texts.join(ids, "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(terms, "term string, whole boolean, sig bigint, toxic int").groupBy("term", "whole", "sig").agg(F.max("toxic").alias("toxic"))
+    every = per_text.groupBy("sig").agg(F.max("toxic").alias("toxic")).agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
+    clean, share = max(every["n"] - every["bad"], 1), every["bad"] / max(every["n"] - every["bad"], 1)
+    counted = per_text.groupBy("term", "whole").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= min_support)
+    pure = F.col("n") - F.col("bad") <= max_clean * F.col("n")
+    # half a clean text is added, so that a few toxic ones alone don't make a lift
+    lifted = ~F.col("whole") & (F.col("bad") >= min_lift * share * (F.col("n") - F.col("bad") + 0.5)) & (F.length("term") >= 4) & F.lit(clean > 1)
     # the terms of a lexicon: as many as language has such words
-    rows = counted.collect()
-    stems = {r["term"]: r["bad"] for r in rows if not r["whole"]}
-    words_found = {r["term"]: r["bad"] for r in rows if r["whole"]}
+    rows = counted.select("term", "whole", "bad", "n", pure.alias("pure"), lifted.alias("lifted")).where("pure or lifted").collect()
+    strong = {r["term"]: r["bad"] for r in rows if not r["whole"] and r["pure"]}
+    lift = {r["term"]: (r["bad"], r["n"]) for r in rows if not r["whole"] and r["lifted"]}
+    words_found = {r["term"]: r["bad"] for r in rows if r["whole"] and r["pure"]}
+    # the shortest lifted stem with what follows it always; below it all is weak unless the stem itself is strong
+    weak = set()
+    for p in [p for p in lift if p[:-1] not in lift and p not in strong]:
+        while longer := [q for q in lift if len(q) == len(p) + 1 and q.startswith(p) and lift[q] == lift[p]]:
+            p = longer[0]
+        if p not in strong and not any(w.startswith(p) for w in seeds):
+            weak.add(p)
+    stems = {p: n for p, n in strong.items() if not any(p.startswith(x) for x in weak)}
     least = [p for p in stems if p[:-1] not in stems]
     out_words, out_stems = set(seeds), set()
     for p in least:
@@ -236,7 +253,7 @@ def learn_lexicon(
             out_words.add(max(main, key=lambda w: (words_found[w], len(w), w)))
         else:
             out_stems.add(p)
-    return tuple(sorted(out_words)), tuple(sorted(out_stems))
+    return tuple(sorted(out_words)), tuple(sorted(out_stems)), tuple(sorted(weak))
 
 
 _made: dict[Lexicon, tuple[LexiconAutomaton, dict]] = {}

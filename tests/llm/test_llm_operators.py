@@ -135,9 +135,9 @@ def test_lexicon_is_learned(spark):
     rare = "zzcopied"
     docs += [(1000 + k, docs[5][1] + f" {rare}") for k in range(30)]  # copies of one toxic text count once
     labels += [(1000 + k, 1, 1) for k in range(30)] + [(None, 1, 1), (4, 1, None)]
-    words, stems = toxicity.learn_lexicon(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), seeds=("idiot",))
-    assert words == ("idiot",) and stems == ("grum",)
-    assert toxicity.learn_lexicon(spark.createDataFrame([], DOC), spark.createDataFrame([], "doc_id bigint, toxic int"), seeds=("idiot",)) == (("idiot",), ())
+    words, stems, weak = toxicity.learn_lexicon(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), seeds=("idiot",))
+    assert words == ("idiot",) and stems == ("grum",) and weak == ()
+    assert toxicity.learn_lexicon(spark.createDataFrame([], DOC), spark.createDataFrame([], "doc_id bigint, toxic int"), seeds=("idiot",)) == (("idiot",), (), ())
 
 
 # --- 3 ---
@@ -330,7 +330,8 @@ def test_maximal_repeats_are_all_of_them(spark):
     texts[55] = texts[54]
     df = spark.createDataFrame(list(texts.items()), DOC).repartition(3)
     got = {(r["n_words"], tuple(zip(r["doc_ids"], r["starts"]))) for r in repeats.maximal_repeats(df, min_words=10, gram=4).collect()}
-    assert got == brute_repeats(texts, 10)
+    want = brute_repeats(texts, 10)
+    assert not got - want and not want - got, (sorted(got - want), sorted(want - got))
 
 
 def test_repeats_of_odd_tables(spark):
@@ -507,3 +508,12 @@ def test_odd_tables_everywhere(spark):
     assert decontaminate.remove_leaks(df, bench).count() == len(rows) - 2
     assert secrets.redact_secrets(df).collect() == df.collect() and secrets.scan_secrets(none).count() == 0
     assert secrets.redact_secrets(none).columns == df.columns
+
+
+def test_weak_stems_accuse_only_together():
+    a = toxicity.LexiconAutomaton((("idiot",), (), ("zorgl",)))
+    score = lambda text: (toxicity.judge(text, a.match, {}, toxicity.WINDOW, toxicity.QUOTED) or (0,))[0]
+    assert score("a zorgling day") == score("zorgling zorgling zorgling") == toxicity.WEAK
+    assert score("zorgling and zorglers") == 2 * toxicity.WEAK >= toxicity.THRESHOLD
+    assert score("zorgling " + "calm " * 60 + "zorglers") == toxicity.WEAK
+    assert score("you idiot") == 1
