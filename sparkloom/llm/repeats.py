@@ -16,7 +16,8 @@ all its occurrences, in one document or many.
    suffix they can share `min_words` words with.
 4. A stack scan over the longest common prefixes gives the interval tree. In each
    interval a second stack scan, over the left contexts, gives the sets that agree for l words to the
-   left and r to the right; a set is a maximal repeat if it is diverse at both ends.
+   left and r to the right; a set is a maximal repeat if it is diverse at both ends. It is
+   reported from the anchor that is least in its first window, which every occurrence has.
 
 Nothing is capped, and no document is compared with another outside an anchor
 group. Hashes select and route; comparison is of the words themselves.
@@ -37,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import VERBATIM, gram_hashes, mix, range_hash, slices, words
+from sparkloom.runtime import cut
+
+from .arrowtext import SLICE_BYTES, VERBATIM, gram_hashes, mix, range_hash, slices, words
 
 MIN_WORDS = 40
 GRAM = 12
-_ANCHORS = "g bigint, cid bigint, pos int, next int, left bigint"
-_CONTEXTS = "g bigint, cid bigint, pos int, left binary, right binary"
+_ANCHORS = "g bigint, cid bigint, pos int, next int, left bigint, reign int"
+_CONTEXTS = "g bigint, cid bigint, pos int, left binary, right binary, reign int"
 _REPEATS = "n_words int, occurrences array<struct<cid:bigint,start:int>>"
 
 
@@ -55,18 +58,23 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(m[: len(x) - w + 1], m[w - k : w - k + len(x) - w + 1]) if k < w else m
 
 
-def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the selected grams of all texts; text i has words first[i]:first[i + 1]."""
+def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, reigns) of the selected grams of all texts; text i has words first[i]:first[i + 1].
+
+    A reign is l * window + r for a gram that no other is below within l grams to
+    the left and r to the right, both less than the window.
+    """
     g = gram_hashes(h, gram)
+    none = np.zeros(0, np.int64), g[:0], np.zeros(0, np.int64)
     if not len(g):
-        return np.zeros(0, np.int64), g
+        return none
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     end = np.repeat(first[1:], np.diff(first))[: len(g)]
     at = np.arange(len(g))
     whole = at + gram <= end
     g = np.where(whole, g, top)
     if len(g) < window:
-        return np.zeros(0, np.int64), g[:0]
+        return none
     least = _slide(g, window, np.minimum)
     least = np.where(np.arange(len(least)) + window - 1 + gram <= end[: len(least)], least, np.uint64(0))
     pad = np.zeros(window - 1, np.uint64)
@@ -74,7 +82,15 @@ def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int) ->
     chosen = (g == highest) & whole
     chosen[1:] &= ~((g[1:] == g[:-1]) & whole[:-1] & (end[1:] == end[:-1]))
     at = np.flatnonzero(chosen)
-    return at, g[at]
+    reach = []
+    for way in (-1, 1):
+        n, live = np.zeros(len(at), np.int64), np.arange(len(at))
+        for k in range(1, window):
+            other = at[live] + way * k
+            live = live[(other < 0) | (other >= len(g)) | (g[np.clip(other, 0, len(g) - 1)] >= g[at[live]])]
+            n[live] = k
+        reach.append(n)
+    return at, g[at], reach[0] * window + reach[1]
 
 
 def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
@@ -86,7 +102,7 @@ def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
             for part in slices(batch):
                 w = words(part.column(1), VERBATIM)
                 h = w.hashes()
-                at, g = select_anchors(w.first, h, gram, window)
+                at, g, reign = select_anchors(w.first, h, gram, window)
                 if not len(at):
                     continue
                 doc = w.doc[at]
@@ -100,8 +116,8 @@ def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
                 follow = np.full(len(at), -1)
                 follow[:-1] = np.where(doc[1:] == doc[:-1], pos[1:], -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(cid), pa.array(pos.astype(np.int32)), pa.array(follow.astype(np.int32)), pa.array(left.view(np.int64))],
-                    ["g", "cid", "pos", "next", "left"],
+                    [pa.array(g.view(np.int64)), pa.array(cid), pa.array(pos.astype(np.int32)), pa.array(follow.astype(np.int32)), pa.array(left.view(np.int64)), pa.array(reign.astype(np.int32))],
+                    ["g", "cid", "pos", "next", "left", "reign"],
                 )
 
     return texts.mapInArrow(rows, _ANCHORS)
@@ -133,7 +149,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 def intervals(lcp: list[int], n: int) -> list[tuple[int, int, int]]:
     """(prefix, first, last) of the inner nodes of the interval tree; lcp[i] is that of suffixes i - 1 and i."""
-    out, stack = [], [(0, 0)]
+    out, stack = [], []
     for i in range(1, n + 1):
         now = lcp[i] if i < n else -1
         first = i - 1
@@ -143,17 +159,18 @@ def intervals(lcp: list[int], n: int) -> list[tuple[int, int, int]]:
                 out.append((depth, first, i - 1))
         if not stack or now > stack[-1][0]:
             stack.append((now, first))
-    return [x for x in out if x[0] >= 0]
+    return out
 
 
-def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int) -> list[tuple[int, int, list[int]]]:
-    """(l, r, members) of the maximal repeats of one anchor group; rights are sorted."""
+def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int) -> Iterator[tuple[int, int, list[int]]]:
+    """One after another, (l, r, members) of the maximal repeats of one anchor group; rights are sorted."""
     n = len(rights)
     if n == 2:
         r, left = _common(rights[0], rights[1]), _common(lefts[0], lefts[1])
-        return [(left, r, [0, 1])] if left < window and left + r >= min_words else []
+        if left < window and left + r >= min_words:
+            yield left, r, [0, 1]
+        return
     lcp = [0] + [_common(rights[i - 1], rights[i]) for i in range(1, n)]
-    out = []
     for r, a, b in intervals(lcp, n):
         if r + window - 1 < min_words:
             continue
@@ -168,8 +185,7 @@ def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int
                 continue
             members = order[i : j + 1]
             if len({child[x] for x in members}) > 1:
-                out.append((left, r, sorted(members)))
-    return out
+                yield left, r, sorted(members)
 
 
 def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -182,15 +198,19 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
     by_text = (
         marks.join(shared.hint("shuffle_hash"), "g")
         .groupBy("cid")
-        .agg(F.collect_list(F.struct("pos", "next", "g", "diverse")).alias("marks"))
+        .agg(F.collect_list(F.struct("pos", "next", "g", "diverse", "reign")).alias("marks"))
         .where(F.exists("marks", lambda m: m["diverse"]))
     )
     holders = by_text.join(members.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "cid")
 
+    def context_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "cid", "pos", "left", "right", "reign"])
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = []
+                rows, size = [], 0
                 for cid, text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     w = text.encode("utf-8", "replace").split()
                     known = {m["pos"]: m for m in found}
@@ -202,12 +222,13 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
                         elif m["next"] not in known:
                             reach = min(len(w), m["next"] + window + gram - 1)
                         if m["diverse"]:
-                            rows.append((m["g"], cid, pos, b" ".join(w[max(0, pos - window) : pos][::-1]), b" ".join(w[pos:reach])))
-                    if len(rows) > 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["g", "cid", "pos", "left", "right"])
-                        rows = []
+                            rows.append((m["g"], cid, pos, b" ".join(w[max(0, pos - window) : pos][::-1]), b" ".join(w[pos:reach]), m["reign"]))
+                            size += len(rows[-1][3]) + len(rows[-1][4])
+                            if size > SLICE_BYTES:
+                                yield context_batch(rows)
+                                rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["g", "cid", "pos", "left", "right"])
+                    yield context_batch(rows)
 
     suffixes = (
         src.join(holders.hint("shuffle_hash"), ["doc_id", "cid"])
@@ -219,35 +240,51 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
-        out: list[tuple] = []
-
-        def close() -> None:
+        sizes: list[int] = []
+        found: list[np.ndarray] = []
+        n_found = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal sizes, found, n_found
+            lengths = np.fromiter(map(len, found), np.int32, len(found))
+            cells = np.concatenate(found)
+            offs = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            spots = pa.StructArray.from_arrays([pa.array(cells[:, 0]), pa.array(cells[:, 1].astype(np.int32))], ["cid", "start"])
+            batch = pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offs, spots)], ["n_words", "occurrences"])
+            sizes, found, n_found = [], [], 0
+            return batch
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal n_found
             if len(group) < 2:
                 return
+            places = np.array([x[:2] for x in group], np.int64)
             for left, r, who in maximal([x[2] for x in group], [x[3] for x in group], window, min_words):
-                out.append((left + r, sorted((group[i][0], group[i][1] - left) for i in who)))
-
-        def batch_of() -> pa.RecordBatch:
-            cells = [[{"cid": c, "start": s} for c, s in x[1]] for x in out]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array(cells, pa.list_(pa.struct([("cid", pa.int64()), ("start", pa.int32())])))], ["n_words", "occurrences"])
-
-        for batch in batches:
-            for g, cid, pos, left, right in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                before, after = divmod(group[who[0]][4], window)
+                if left > before or window - 1 - left > after:
+                    continue  # not the least of the repeat's first window, so other occurrences may lack this anchor
+                own = places[who]
+                own[:, 1] -= left
+                sizes.append(left + r)
+                found.append(own[np.lexsort((own[:, 1], own[:, 0]))])
+                n_found += len(own)
+                if n_found > 50_000:
+                    yield flush()
+
+        for part in (part for batch in batches for part in slices(batch, "right")):
+            for g, cid, pos, left, right, reign in zip(*(part.column(i).to_pylist() for i in range(6))):
                 if g != now:
-                    close()
+                    yield from close()
                     now, group = g, []
-                    if len(out) > 500:
-                        yield batch_of()
-                        out.clear()
                 if group and group[-1][0] == cid and group[-1][1] == pos:
                     continue  # a row of the table that came twice
-                group.append((cid, pos, left, right))
-        close()
-        if out:
-            yield batch_of()
+                group.append((cid, pos, left, right, reign))
+        yield from close()
+        if found:
+            yield flush()
 
     least = F.col("occurrences")[0]
-    groups = (
+    groups = cut(  # it's read twice
         suffixes.mapInArrow(trees, _REPEATS)
         .withColumn("rid", F.xxhash64(least["cid"], least["start"], "n_words"))
         .groupBy("rid", "n_words")
