@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,27 +13,57 @@ from sparkloom.functions.paths import language_of, suffix
 from sparkloom.sources.ignore import Rule, ignored_with_parents
 
 MAX_SIZE = 1 << 20
+#: Contents sent on at once by a task.
+BATCH_BYTES = 8 << 20
+
+
+def _open(root: str):
+    """(file system, folder) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root else Path(root).resolve().as_uri())
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of all files under root, hidden, empty and underscored ones too, which Spark's own listing leaves out."""
+    from pyarrow import fs
+
+    files, base = _open(root)
+    found = [f for f in files.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+    return spark.createDataFrame([(f.path[len(base.rstrip("/")) + 1 :], (f.mtime_ns or 0) // 10**9, f.size) for f in found], "path string, mtime bigint, size bigint")
 
 
 def scan_tree(spark: SparkSession, root: str, rules: list[Rule] = (), include: list[Rule] = (), exclude: list[Rule] = (), extensions: set[str] | None = None, max_size: int | None = MAX_SIZE) -> DataFrame:
     """(path, mtime, size, language, content_hash, text) of the files under root that pass the rules.
 
-    Names, times and sizes are filtered before contents are read, so files left
-    out are only listed. Hidden files are read if Spark lists them: it leaves out
-    names that begin with a dot or an underscore, but for `_*.py` and the like
-    which a caller can union from another reader.
+    Names and sizes are listed by the driver; executors read the contents of
+    files that pass. root must be a folder that all of them see. A file that is
+    gone by then is left out.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.regexp_replace(F.col("path"), rf"^(?:file:)?/*{base.lstrip('/')}/", "")
-    files = raw.select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    files = files.where(~ignored_with_parents(F.col("path"), list(rules), list(include), list(exclude)))
+    files = list_tree(spark, root).where(~ignored_with_parents(F.col("path"), list(rules), list(include), list(exclude)))
     if extensions:
         files = files.where(suffix(F.col("path")).isin(*extensions))
     if max_size:
         files = files.where(F.col("size") <= max_size)
-    return files.select("path", "mtime", "size", language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = _open(root)
+        names = ["path", "mtime", "size", "content"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            rows, held = [], 0
+            for path, mtime, size in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    with source.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                        rows.append((path, mtime, size, f.read()))
+                except FileNotFoundError:
+                    continue
+                held += size
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-def content_hash(text) -> object:
-    return F.sha2(text, 256)
+    got = files.select("path", "mtime", "size").mapInArrow(read, "path string, mtime bigint, size bigint, content binary")
+    return got.select("path", "mtime", "size", language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
