@@ -12,6 +12,7 @@ from sparkloom.functions.stem import words
 from sparkloom.operators import architecture, changes, effects, graph, ingest, modules, ranking, relations, search, store, workspace
 from sparkloom.operators.export import label
 from sparkloom.plans.views import Index, with_views
+from sparkloom.runtime import cut
 from sparkloom.streaming.watch import change_stats, debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,12 +326,12 @@ def g1_callers(x: Index) -> DataFrame:
 
 @query(_nodes("callers", 2))
 def g1_callers_depth2(x: Index) -> DataFrame:
-    return graph.callers(x.symbols, x.edges, x.files, ROOT, 2).drop("root")
+    return graph.callers(x.symbols, cut(x.edges), x.files, ROOT, 2).drop("root")
 
 
 @query(_nodes("callees", 2))
 def g2_callees_depth2(x: Index) -> DataFrame:
-    return graph.callees(x.symbols, x.edges, x.files, ROOT, 2).drop("root")
+    return graph.callees(x.symbols, cut(x.edges), x.files, ROOT, 2).drop("root")
 
 
 _AFFECTED = _walk("callers", 1) + ", hit AS (SELECT node, 0 AS path_depth FROM walk0 UNION ALL SELECT node, 1 FROM walk1)"
@@ -349,7 +350,8 @@ def g3_impact(x: Index) -> DataFrame:
     CASE WHEN is_test THEN 'test_file' WHEN share > 0.7 THEN 'high_fan_in' WHEN share > 0.3 THEN 'moderate_fan_in' ELSE 'low_fan_in' END AS reason FROM j""")
 def g6_inspection_ranking(x: Index) -> DataFrame:
     starts, _ = graph.impact_targets(x.symbols, x.files, [ROOT])
-    return graph.rank_for_inspection(graph.affected(x.edges, x.symbols, starts, 2), x.edges, x.symbols, x.files)
+    edges = cut(x.edges)
+    return graph.rank_for_inspection(graph.affected(edges, x.symbols, starts, 2), edges, x.symbols, x.files)
 
 
 @query("SELECT min(id) AS root FROM v_symbols WHERE name = 'red widget' HAVING min(id) IS NOT NULL")
@@ -360,7 +362,7 @@ def g4_resolve_name(x: Index) -> DataFrame:
 @query(f"""up AS (SELECT node FROM walk0 UNION SELECT node FROM walk1), near AS (SELECT node FROM up UNION SELECT target_id FROM v_edges JOIN v_symbols ON v_symbols.id = target_id WHERE source_id = {ROOT})
   SELECT id, source_id, target_id, kind FROM v_edges WHERE source_id IN (SELECT node FROM near) AND target_id IN (SELECT node FROM near)""".replace("up AS", _walk("callers", 1) + ", up AS", 1))
 def g7_neighbourhood(x: Index) -> DataFrame:
-    return graph.neighbourhood(x.edges, x.symbols, ROOT, 1)
+    return graph.neighbourhood(cut(x.edges), x.symbols, ROOT, 1)
 
 
 @query("SELECT 1")
@@ -413,12 +415,12 @@ def u15_words(x: Index) -> DataFrame:
 
 @query()
 def u15_search(x: Index) -> DataFrame:
-    return search.search(search.postings(x.symbols), "wid* OR (red NOT bolt)", None)
+    return search.search(cut(search.postings(x.symbols)), "wid* OR (red NOT bolt)", None)
 
 
 @query()
 def j13_blast_radius(x: Index) -> DataFrame:
-    return changes.blast_radius(_changed(x), x.symbols, search.postings(x.symbols))
+    return changes.blast_radius(_changed(x), x.symbols, cut(search.postings(x.symbols)))
 
 
 # architecture, effects, parsing ------------------------------------------------------------
