@@ -499,7 +499,8 @@ def test_odd_tables_everywhere(spark):
     bench = spark.createDataFrame([(1, None), (None, "a plain text of a few words")], "item_id bigint, text string")
     assert chunks.repeated_spans(df).count() == 0 and chunks.repeated_spans(none).count() == 0
     lexicon = toxicity.learn_lexicon(df, labels)
-    assert toxicity.reject_toxic(df, lexicon).count() == len(rows) and toxicity.reject_toxic(none, lexicon).count() == 0
+    clean = [r for r in rows if not set(toxicity.SEEDS) & set((r[1] or "").split())]  # the long text is random, and says "loser"
+    assert toxicity.reject_toxic(df, lexicon).count() == len(clean) == len(rows) - 1 and toxicity.reject_toxic(none, lexicon).count() == 0
     assert bpe.encode(df).where("round_trip or token_ids is null").count() == len(rows) and bpe.encode(none).count() == 0
     assert quality.keep_quality(df, labels).count() >= 1 and quality.keep_quality(none, labels).count() == 0
     assert quality.keep_quality(df, labels.limit(0)).count() == 5
