@@ -7,17 +7,20 @@ between its order and those it meets (a pivot missing on one side counts as
 standing at place `prefix`). Vectors whose footrule distance is within a bound
 are candidates and are reranked by exact cosine.
 
-The bound is calibrated, not guessed: for `n_probe` queries (the least by hash of
-vec_id) the true neighbours are found by brute force over the whole table, and
-the bound is the footrule distance within which the share `target` of them lies. No
-number of candidates is capped. Every row is a query against every shard, so the
-index keeps its recall on vectors that don't cluster; the cost of walking lists
-grows with the square of the table, divided by pivots / prefix**2.
+The bound is calibrated, not guessed: for `n_probe` queries (the next by hash of
+vec_id after the pivots, which are untypically near to their own order; pivots
+only where other rows don't suffice) the true neighbours are found by brute force
+over the whole table, and the bound is the footrule distance within which the
+share `target` of them lies. A query that meets fewer than k in a shard takes
+those of the k least footrules there. No number of candidates is capped. Every
+row is a query against every shard, so the index keeps its recall on vectors that
+don't cluster; there the bound admits most rows, up to all of them (then no lists
+are walked), and the cost is that of brute force, the square of the table.
 
 Defined cases: null, empty, non-finite or zero vectors and vectors of another length than most have no
 neighbours and are none; rows with a null vec_id are left out; of rows that
 repeat a vec_id the least vector counts; equal similarities are ordered by vec_id; a table of
-n vectors gives min(k, n - 1) neighbours for those whose candidates suffice;
+n vectors gives min(k, n - 1) neighbours for each;
 other columns are not read; an empty table gives an empty result.
 """
 
@@ -94,8 +97,9 @@ def nearest(df: DataFrame, k: int = K, n_pivots: int = PIVOTS, prefix: int = PRE
     dim, n = sizes["d"], sizes["count"]
     unit = unit.where(F.size("v") == dim)
     hashed = unit.orderBy(F.xxhash64("vec_id"), "vec_id")
-    pivots = np.array([r["v"] for r in hashed.limit(n_pivots).collect()], np.float32)  # n_pivots vectors
-    probe = hashed.limit(n_probe).collect()  # n_probe vectors
+    first = hashed.limit(n_pivots + n_probe).collect()  # n_pivots + n_probe vectors
+    pivots = np.array([r["v"] for r in first[:n_pivots]], np.float32)
+    probe = (first[n_pivots:] + first[:n_pivots])[:n_probe]
     prefix = min(prefix, len(pivots))
     pid, pv = np.array([r["vec_id"] for r in probe]), np.array([r["v"] for r in probe], np.float32)
 
@@ -121,6 +125,7 @@ def nearest(df: DataFrame, k: int = K, n_pivots: int = PIVOTS, prefix: int = PRE
     bound = true.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).agg(F.expr(f"percentile(footrule, {float(target)}d)").alias("b")).first()["b"]
     bound = int(np.ceil(bound)) if bound is not None else 0
 
+    every = bound >= prefix * (prefix + 1)  # as far as orders can be from one another
     n_shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")
     data = unit.select("vec_id", "v", shard.alias("shard"), F.lit(0).alias("side"))
@@ -134,25 +139,32 @@ def nearest(df: DataFrame, k: int = K, n_pivots: int = PIVOTS, prefix: int = PRE
             for a, b in zip(edges[:-1], edges[1:]):
                 run = batch.slice(int(a), int(b - a))
                 if shards[a] != now:
-                    now, held, inv = shards[a], [], None
+                    now, held, inv, ids, x = shards[a], [], None, None, None
                 if sides[a] == 0:
                     held.append(run)
                     continue
                 if not held:
                     continue
-                if inv is None:
+                if ids is None:
                     ids = np.concatenate([h.column(0).to_numpy() for h in held])
                     x = np.concatenate([_matrix(h.column(1), dim) for h in held])
-                    inv = InvertedFiles(permutation(x, pivots, prefix), len(pivots))
+                    inv = None if every else InvertedFiles(permutation(x, pivots, prefix), len(pivots))
                 qid, q = run.column(0).to_numpy(), _matrix(run.column(1), dim)
-                perms = permutation(q, pivots, prefix)
+                perms = None if every else permutation(q, pivots, prefix)
                 out = []
                 for i in range(len(qid)):
-                    cand = np.flatnonzero(inv.footrule(perms[i]) <= bound)
-                    cand = cand[ids[cand] != qid[i]]
+                    if every:
+                        cand = np.flatnonzero(ids != qid[i])
+                    else:
+                        foot = inv.footrule(perms[i])
+                        cand = np.flatnonzero((foot <= bound) & (ids != qid[i]))
+                        if len(cand) < k:
+                            others = np.flatnonzero(ids != qid[i])
+                            near = foot[others]
+                            cand = others[near <= np.partition(near, k - 1)[k - 1]] if len(others) > k else others
                     if not len(cand):
                         continue
-                    s = x[cand] @ q[i]
+                    s = (x @ q[i])[cand] if len(cand) * 4 > len(ids) else x[cand] @ q[i]
                     if len(cand) > k:
                         some = np.argpartition(-s, k - 1)
                         least = s[some[k - 1]]

@@ -225,6 +225,25 @@ def test_recall_against_brute_force(spark, spread):
     assert np.mean([len(got.get(i, set()) & set(want[i])) / 8 for i in range(900)]) >= 0.9
 
 
+def recall_with_production_parameters(spark, x):
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in permutation.nearest(df).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    assert {len(g) for g in got.values()} == {permutation.K} and len(got) == len(x)
+    return np.mean([len(got[i] & set(w)) / permutation.K for i, w in enumerate(brute(x, permutation.K))])
+
+
+def test_recall_of_rows_that_are_no_pivots(spark):
+    assert recall_with_production_parameters(spark, np.random.default_rng(10).normal(size=(3000, 64))) >= 0.95
+
+
+def test_lonely_vectors_have_neighbours_too(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12, 64))[np.arange(1200) % 12] + 0.05 * rng.normal(size=(1200, 64))
+    assert recall_with_production_parameters(spark, np.concatenate([x, rng.normal(size=(4, 64))])) >= 0.9
+
+
 def test_footrule_is_its_definition():
     rng = np.random.default_rng(9)
     perms = np.array([rng.permutation(20)[:6] for _ in range(40)], np.int32)
