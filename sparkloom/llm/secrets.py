@@ -3,10 +3,13 @@
 A byte-pair vocabulary spends few tokens on language and many on random
 characters. Each run of at least `min_chars` characters of the key alphabet that
 holds letters and digits (or much mixed case) is encoded whole; fewer than
-`max_ratio` characters a token exposes it as random. Left alone are known
-digests and identifiers: hexadecimal runs of a digest's length that no
-credential word introduces, values listed in `known_sha256`, UUIDs, and runs
-that language explains.
+`max_ratio` characters a token exposes it as random. In a run that language
+explains as a whole (a path, an address, a key with a worded prefix) the tokens
+are scored one by one, and every stretch of at least `min_chars` letters and
+digits that takes fewer than `max_ratio` of them a token is exposed, out to the
+separators around it. Left alone are known digests and identifiers: hexadecimal
+runs, or pieces of such a run, of a digest's length that no credential word
+introduces, values listed in `known_sha256`, UUIDs, and what language explains.
 
 One narrow pass; no shuffle. Defined cases: null or empty text has no finding;
 null doc_id is carried; a repeated row repeats its findings; columns besides
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +44,72 @@ _CREDENTIAL = re.compile(
     r"(?i)(token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth(?:orization)?|bearer|credential)s?"
     r"[\"']?\s*(?:=>|:=|[=:])?\s*[\"'`]?$"
 )
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_KNOWN_PIECE = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
+#: a stretch ends where its score has fallen by so much: a word of eight letters, or two of five
+_DROP = 5.5
+
+
+def _turns(s: str) -> int:
+    return sum(a.islower() != b.islower() for a, b in zip(s, s[1:]))
+
+
+def _lead(text: str, at: int, joined: bool = False) -> re.Match | None:
+    """The credential word before `at`; of a part of a run, separators may stand between."""
+    before = text[max(0, at - 40) : at]
+    return _CREDENTIAL.search(before.rstrip("/_-+") if joined else before)
+
+
+def random_parts(text: str, start: int, end: int, enc, min_chars: int, max_ratio: float) -> list[tuple[int, int]]:
+    """The random stretches, out to the separators around them, of a run that isn't random as a whole."""
+    s = text[start:end]
+    left_alone = [
+        m.span()
+        for m in _KNOWN_PIECE.finditer(s)
+        if ("-" in m.group() or len(m.group()) in _DIGEST_LENGTHS) and _lead(text, start + m.start(), m.start() > 0) is None
+    ]
+    # (start, end, score) of each token; separators count for nothing, what is left alone ends a stretch
+    tokens, at = [], 0
+    for t in enc.encode_ordinary(s):
+        b = at + len(enc.decode_single_token_bytes(t))
+        alone = any(x <= at and b <= y for x, y in left_alone)
+        tokens.append((at, b, -1e9 if alone else max_ratio - (b - at) if s[at].isalnum() else 0.0))
+        at = b
+    pieces = [m.span() for m in _PIECE.finditer(s)]
+    firsts, ends = [p[0] for p in pieces], [p[1] for p in pieces]
+    scores = [0.0] * len(pieces)
+    for a, _, w in tokens:
+        if s[a].isalnum():
+            scores[bisect_right(firsts, a) - 1] += w
+    out, i = [], 0
+    while i < len(tokens):
+        if tokens[i][2] <= 0:
+            i += 1
+            continue
+        total, best, last = 0.0, 0.0, i
+        for j in range(i, len(tokens)):
+            total += tokens[j][2]
+            if total > best:
+                best, last = total, j
+            if total <= 0 or total < best - _DROP:
+                break
+        a, b = tokens[i][0], tokens[last][1]
+        i = last + 1
+        # whole pieces; those at the ends that language explains are left out
+        p, q = bisect_right(ends, a), bisect_left(firsts, b)
+        while q - p > 1 and scores[p] <= 0:
+            p += 1
+        while q - p > 1 and scores[q - 1] <= 0:
+            q -= 1
+        if b - a < min_chars and sum(scores[p:q]) <= 0:
+            continue
+        key = "".join(s[x:y] for x, y in pieces[p:q])
+        if len(key) < min_chars or not any(c.isalpha() for c in key) or not (any(c.isdigit() for c in key) or _turns(key) * 4 >= len(key)):
+            continue
+        a, b = max(firsts[p], out[-1][1] if out else 0), ends[q - 1]
+        if a < b:
+            out.append((a, b))
+    return [(start + a, start + b) for a, b in out]
 
 
 def find(text: str, enc, min_chars: int, max_ratio: float, known: frozenset[str]) -> list[tuple]:
@@ -51,18 +121,25 @@ def find(text: str, enc, min_chars: int, max_ratio: float, known: frozenset[str]
             continue
         digits = any(c.isdigit() for c in s)
         letters = any(c.isalpha() for c in s)
-        turns = sum(a.islower() != b.islower() for a, b in zip(s, s[1:]))
-        if not letters or not (digits or turns * 4 >= len(s)):
+        turns = _turns(s)
+        if not letters or not (digits or turns * 4 >= min_chars):
             continue
-        lead = _CREDENTIAL.search(text[max(0, m.start() - 40) : m.start()])
+        lead = _lead(text, m.start())
         if lead is None and (_UUID.fullmatch(s) or (len(s) in _DIGEST_LENGTHS and _HEX.fullmatch(s))):
             continue
         n = len(enc.encode_ordinary(s))
-        if len(s) >= max_ratio * n:
+        if len(s) < max_ratio * n and (digits or turns * 4 >= len(s)):
+            parts = [m.span()]
+        else:
+            parts = random_parts(text, *m.span(), enc, min_chars, max_ratio)
+        if not parts or hashlib.sha256(s.encode()).hexdigest() in known:
             continue
-        sha = hashlib.sha256(s.encode()).hexdigest()
-        if sha not in known:
-            out.append((m.start(), m.end(), n, lead.group(1).lower() if lead else "", sha))
+        for a, b in parts:
+            if a > m.start():
+                lead = _lead(text, a, joined=True)
+            sha = hashlib.sha256(text[a:b].encode()).hexdigest()
+            if sha not in known:
+                out.append((a, b, len(enc.encode_ordinary(text[a:b])), lead.group(1).lower() if lead else "", sha))
     return out
 
 

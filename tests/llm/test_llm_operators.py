@@ -506,6 +506,23 @@ def test_secrets_are_found_and_digests_left(spark):
     assert len(clean) == len(docs)
 
 
+def test_secrets_joined_to_words_are_found():
+    rng = random.Random(18)
+    enc = vocab.encoding(vocab.DEFAULT_VOCAB)
+    find = lambda text: secrets.find(text, enc, secrets.MIN_CHARS, secrets.MAX_RATIO, frozenset())
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before, n in (("/services/integrations/production/webhooks/", 24), ("/home/deployment/services/integrations/production/configuration/webhooks/", 32), ("production-service-account-access-token-", 24)):
+        for after in ("", "/notifications/settings"):
+            for _ in range(100):
+                key = "".join(rng.choices(letters, k=n - 1)) + rng.choice("0123456789")
+                text = f"see {before}{key}{after} there"
+                assert any(a <= text.index(key) and b >= text.index(key) + n for a, b, *_ in find(text)), text
+    sha1, uuid = "3f786850e387550fdab836ed7e6dc881de23001b", "123e4567-e89b-12d3-a456-426614174000"
+    long = "/services/integrations/production/webhooks/notifications/settings/organization/"
+    assert not find(f"{long}{sha1} {long}{uuid} {long}version-2023-10-11") and find(f"{long}access_token/{sha1}")[0][3] == "token"
+    assert not find("internationalization_of_the_settings_page_2023/plain-identifier-with-words")
+
+
 # --- edges of them all ---
 
 
