@@ -15,7 +15,8 @@ different word-set signatures and in almost no clean one. A signature is made of
 the four least word hashes of a document; near copies share it and count once. Stems that
 are `min_lift` times as frequent in toxic documents as in clean ones, but do
 occur in clean ones, are weak: a hit counts `WEAK`, and a form of the word that
-comes again in the text counts once, so one such word alone accuses nobody.
+comes again in the window counts once, by its largest weight, so one such word
+alone accuses nobody.
 
 Defined cases: null or empty text is not toxic; null doc_id is carried; a
 repeated row is judged each time; conflicting labels count as toxic; null labels
@@ -25,6 +26,7 @@ are ignored; other columns are not touched; empty tables give empty results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from heapq import nsmallest
 from zlib import crc32
@@ -157,7 +159,7 @@ def judge(text: str, match, memo: dict, window: int, quoted: float) -> tuple[flo
         return None
     spans = [m.span() for m in _QUOTES.finditer(low)]
     hits, terms, n_quoted = [], set(), 0
-    guessed: set[str] = set()  # a misspelling or a weak hit that comes again is a word of the text, and counts once
+    guessed: set[str] = set()  # a misspelling or a weak hit that comes again is a word of the text, and counts once a window
     at = 0
     for i, m in enumerate(_WORD.finditer(low)):
         x = memo[m.group()]
@@ -169,19 +171,30 @@ def judge(text: str, match, memo: dict, window: int, quoted: float) -> tuple[flo
         reported = any(w in REPORTING for w in found[max(0, i - 4) : i])
         n_quoted += in_quotes or reported
         if x[1] < 1:
-            if m.group() in guessed:
-                continue
             guessed.add(m.group())
-        hits.append((i, x[1] * (quoted if in_quotes or reported else 1.0)))
+        hits.append((i, x[1] * (quoted if in_quotes or reported else 1.0), m.group() if x[1] < 1 else None))
         terms.add(x[0])
     best, left, total = 0.0, 0, 0.0
-    for i, weight in hits:
-        total += weight
+    inside: dict[str, Counter] = {}  # the weights of each guessed form in the window
+
+    def move(form: str | None, weight: float, by: int) -> float:
+        """What the window's sum changes by when a hit comes in (1) or goes out (-1)."""
+        if form is None:
+            return by * weight
+        mine = inside.setdefault(form, Counter())
+        before = max(mine, default=0.0)
+        mine[weight] += by
+        if not mine[weight]:
+            del mine[weight]
+        return max(mine, default=0.0) - before
+
+    for i, weight, form in hits:
+        total += move(form, weight, 1)
         while hits[left][0] < i - 2 * window:
-            total -= hits[left][1]
+            total += move(hits[left][2], hits[left][1], -1)
             left += 1
         best = max(best, total)
-    return round(best, 6), len(hits), n_quoted, sorted(terms)
+    return round(best, 6), sum(h[2] is None for h in hits) + len(guessed), n_quoted, sorted(terms)
 
 
 def learn_lexicon(

@@ -554,3 +554,13 @@ def test_weak_stems_accuse_only_together():
     assert score("zorgling and zorglers") == 2 * toxicity.WEAK >= toxicity.THRESHOLD
     assert score("zorgling " + "calm " * 60 + "zorglers") == toxicity.WEAK
     assert score("you idiot") == 1
+
+
+def test_a_weak_passage_is_judged_alike_wherever_it_stands():
+    a = toxicity.LexiconAutomaton((("idiot",), (), ("zorgl",)))
+    score = lambda text: (toxicity.judge(text, a.match, {}, toxicity.WINDOW, toxicity.QUOTED) or (0,))[0]
+    calm = " " + "calm " * 60
+    for before in ("zorgling" + calm, '"zorgling"' + calm, 'he wrote "zorgling and zorglers"' + calm, '"zorgling" '):
+        assert score(before + "zorgling and zorglers") == 2 * toxicity.WEAK
+        assert score("zorgling and zorglers" + calm + before) == 2 * toxicity.WEAK
+    assert score('"zorgling" zorgling "zorgling"' + calm + '"zorgling"') == toxicity.WEAK
