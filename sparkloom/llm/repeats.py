@@ -7,7 +7,7 @@ all its occurrences, in one document or many.
 1. Equal texts are collapsed by digest; their documents are put back at the end.
 2. Anchors: of every window of W = min_words - GRAM + 1 successive word GRAM-grams
    the least hash is selected, so every repeat long enough holds an anchor at the same place in
-   each occurrence. Anchors are shuffled by hash; those that occur once are gone. So are, as starting
+   each occurrence. Anchors are aggregated by hash, on the map side first; those that occur once are gone. So are, as starting
    points, those whose W words to the left are the same everywhere: nothing can
    start there, the left-extension test in its cheapest form.
 3. Each remaining anchor is a suffix of the array: its text goes right as far as
@@ -19,12 +19,19 @@ all its occurrences, in one document or many.
    left and r to the right; a set is a maximal repeat if it is diverse at both ends. It is
    reported from the anchor that is least in its first window, which every occurrence has.
 
+Hot groups: an anchor of more than `hot_rows` places is not given to one task. The
+root of its interval tree is found by an aggregation (what the least and the
+greatest suffix share, all share), its children by a hash of the next word, and
+so on down until a subtree is small enough for a task; within each such node the
+left contexts are split in the same way. Each round is checkpointed.
+
 Nothing is capped, and no document is compared with another outside an anchor
 group. Hashes select and route; comparison is of the words themselves.
 
 Defined cases: words stand between white space, whose kind and amount don't
 matter; null, empty and short texts have no repeats; rows with a null doc_id are left out; rows that repeat
-a doc_id and text are one document; a run of one repeated word is represented
+a doc_id and text are one document; a doc_id with several texts has the repeats of each;
+a run of one repeated word is represented
 by its start, not by its overlapping parts; other columns are not read;
 an empty table gives an empty result.
 """
@@ -32,9 +39,11 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +53,11 @@ from .arrowtext import SLICE_BYTES, VERBATIM, gram_hashes, mix, range_hash, slic
 
 MIN_WORDS = 40
 GRAM = 12
-_ANCHORS = "g bigint, cid bigint, pos int, next int, left bigint, reign int"
-_CONTEXTS = "g bigint, cid bigint, pos int, left binary, right binary, reign int"
-_REPEATS = "n_words int, occurrences array<struct<cid:bigint,start:int>>"
+#: Places of an anchor that one task takes at once; groups of more are split.
+HOT_ROWS = 1 << 14
+_ANCHORS = "g bigint, cid bigint, pos int, left bigint"
+_CONTEXTS = "node bigint, cid bigint, pos int, left binary, right binary, reign int"
+_SPOTS = "least_cid bigint, least_start int, n_words int, cid bigint, start int"
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -58,7 +69,7 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(m[: len(x) - w + 1], m[w - k : w - k + len(x) - w + 1]) if k < w else m
 
 
-def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, with_reigns: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, hashes, reigns) of the selected grams of all texts; text i has words first[i]:first[i + 1].
 
     A reign is l * window + r for a gram that no other is below within l grams to
@@ -82,6 +93,8 @@ def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int) ->
     chosen = (g == highest) & whole
     chosen[1:] &= ~((g[1:] == g[:-1]) & whole[:-1] & (end[1:] == end[:-1]))
     at = np.flatnonzero(chosen)
+    if not with_reigns:
+        return at, g[at], none[0]
     reach = []
     for way in (-1, 1):
         n, live = np.zeros(len(at), np.int64), np.arange(len(at))
@@ -94,37 +107,43 @@ def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int) ->
 
 
 def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """_ANCHORS of texts(cid, text)."""
+    """_ANCHORS of texts(cid, text), once for the equal texts of a task."""
     window = min_words - gram + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch):
+            fresh = []
+            for c in batch.column(0).to_pylist():
+                fresh.append(c not in seen)
+                seen.add(c)
+            for part in slices(batch.filter(pa.array(fresh, pa.bool_()))):
                 w = words(part.column(1), VERBATIM)
                 h = w.hashes()
-                at, g, reign = select_anchors(w.first, h, gram, window)
+                at, g, _ = select_anchors(w.first, h, gram, window, False)
                 if not len(at):
                     continue
                 doc = w.doc[at]
                 cid = part.column(0).to_numpy()[doc]
                 begin = w.first[doc]
-                pos = at - begin
-                back = np.maximum(at - window, begin)
-                left = range_hash(h, back, at)
+                left = range_hash(h, np.maximum(at - window, begin), at)
                 # a text's start differs from any other context
                 left = np.where(at - window < begin, mix(left + cid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), left)
-                follow = np.full(len(at), -1)
-                follow[:-1] = np.where(doc[1:] == doc[:-1], pos[1:], -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(cid), pa.array(pos.astype(np.int32)), pa.array(follow.astype(np.int32)), pa.array(left.view(np.int64)), pa.array(reign.astype(np.int32))],
-                    ["g", "cid", "pos", "next", "left", "reign"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(cid), pa.array((at - begin).astype(np.int32)), pa.array(left.view(np.int64))], ["g", "cid", "pos", "left"])
 
     return texts.mapInArrow(rows, _ANCHORS)
 
 
+def _text_words(text: str) -> list[bytes]:
+    """The words without the byte 0, which stands between them in a context and sorts before all others."""
+    raw = text.encode("utf-8", "replace")
+    if b"\0" in raw or b"\1" in raw:
+        raw = raw.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
+    return raw.split()
+
+
 def _common(a: bytes, b: bytes) -> int:
-    """Words that a and b, of words with single spaces, begin with alike."""
+    """Words that contexts a and b begin with alike."""
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         lo = n
@@ -143,8 +162,14 @@ def _common(a: bytes, b: bytes) -> int:
                 hi = mid
     if lo == 0:
         return 0
-    done = (lo == len(a) or a[lo] == 32) and (lo == len(b) or b[lo] == 32)
-    return a.count(b" ", 0, lo) + done
+    done = (lo == len(a) or a[lo] == 0) and (lo == len(b) or b[lo] == 0)
+    return a.count(b"\0", 0, lo) + done
+
+
+def _next_word(context: bytes, n: int, cid: int, pos: int) -> int:
+    """A hash of the word after the first n; a context that ends there differs from all others."""
+    parts = context.split(b"\0", n + 1) if context else []
+    return xxhash.xxh3_64_intdigest(b"w" + parts[n] if n < len(parts) else b"e%d %d" % (cid, pos)) - (1 << 63)
 
 
 def intervals(lcp: list[int], n: int) -> list[tuple[int, int, int]]:
@@ -162,6 +187,18 @@ def intervals(lcp: list[int], n: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def maximal_at(r: int, lefts: list[bytes], children: list[int], window: int, min_words: int) -> Iterator[tuple[int, list[int]]]:
+    """(l, members) of the maximal repeats among suffixes that share r words and go on as their children say."""
+    order = sorted(range(len(lefts)), key=lefts.__getitem__)
+    lcp = [0] + [_common(lefts[x], lefts[y]) for x, y in zip(order, order[1:])]
+    for left, i, j in intervals(lcp, len(order)):
+        if left >= window or left + r < min_words:
+            continue
+        members = order[i : j + 1]
+        if len({children[x] for x in members}) > 1:
+            yield left, members
+
+
 def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int) -> Iterator[tuple[int, int, list[int]]]:
     """One after another, (l, r, members) of the maximal repeats of one anchor group; rights are sorted."""
     n = len(rights)
@@ -174,137 +211,218 @@ def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int
     for r, a, b in intervals(lcp, n):
         if r + window - 1 < min_words:
             continue
-        child, c = {a: 0}, 0
+        children, c = [0], 0
         for i in range(a + 1, b + 1):
             c += lcp[i] == r
-            child[i] = c
-        order = sorted(range(a, b + 1), key=lefts.__getitem__)
-        llcp = [0] + [_common(lefts[x], lefts[y]) for x, y in zip(order, order[1:])]
-        for left, i, j in intervals(llcp, len(order)):
-            if left >= window or left + r < min_words:
-                continue
-            members = order[i : j + 1]
-            if len({child[x] for x in members}) > 1:
-                yield left, r, sorted(members)
-
-
-def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """(n_words, n_occurrences, doc_ids, starts): starts are places of words, beside their documents."""
-    window = min_words - gram + 1
-    src = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("cid"), "text")
-    members = src.select("cid", "doc_id").distinct()
-    marks = anchors(src.select("cid", "text"), min_words, gram).repartition("g").distinct()
-    shared = marks.groupBy("g").agg(F.count("*").alias("n"), F.min("left").alias("a"), F.max("left").alias("b")).where("n > 1").selectExpr("g", "a <> b as diverse")
-    by_text = (
-        marks.join(shared.hint("shuffle_hash"), "g")
-        .groupBy("cid")
-        .agg(F.collect_list(F.struct("pos", "next", "g", "diverse", "reign")).alias("marks"))
-        .where(F.exists("marks", lambda m: m["diverse"]))
-    )
-    holders = by_text.join(members.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "cid")
+            children.append(c)
+        for left, who in maximal_at(r, lefts[a : b + 1], children, window, min_words):
+            yield left, r, [a + x for x in who]
+
+
+def _spot_batches(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """_SPOTS of repeats (words, places), in batches."""
+
+    def flush() -> pa.RecordBatch:
+        n = np.fromiter(map(len, cells), np.int64, len(cells))
+        flat = np.concatenate(cells)
+        least = np.repeat(np.array([x[0] for x in cells]), n, axis=0)
+        columns = least[:, 0], least[:, 1].astype(np.int32), np.repeat(np.array(sizes, np.int32), n), flat[:, 0], flat[:, 1].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["least_cid", "least_start", "n_words", "cid", "start"])
+
+    sizes, cells, held = [], [], 0
+    for size, places in found:
+        sizes.append(size)
+        cells.append(places[np.lexsort((places[:, 1], places[:, 0]))])
+        held += len(places)
+        if held > 50_000:
+            yield flush()
+            sizes, cells, held = [], [], 0
+    if held:
+        yield flush()
 
-    def context_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "cid", "pos", "left", "right", "reign"])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                rows, size = [], 0
-                for cid, text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    w = text.encode("utf-8", "replace").split()
-                    known = {m["pos"]: m for m in found}
-                    reach = len(w)
-                    for pos in sorted(known, reverse=True):
-                        m = known[pos]
-                        if m["next"] < 0:
-                            reach = len(w)
-                        elif m["next"] not in known:
-                            reach = min(len(w), m["next"] + window + gram - 1)
-                        if m["diverse"]:
-                            rows.append((m["g"], cid, pos, b" ".join(w[max(0, pos - window) : pos][::-1]), b" ".join(w[pos:reach]), m["reign"]))
-                            size += len(rows[-1][3]) + len(rows[-1][4])
-                            if size > SLICE_BYTES:
-                                yield context_batch(rows)
-                                rows, size = [], 0
-                if rows:
-                    yield context_batch(rows)
-
-    suffixes = (
-        src.join(holders.hint("shuffle_hash"), ["doc_id", "cid"])
-        .select("cid", "text", "marks")
-        .mapInArrow(contexts, _CONTEXTS)
-        .repartition("g")
-        .sortWithinPartitions("g", "right", "cid", "pos")
-    )
+def _reports(left: int, reign: int, window: int) -> bool:
+    """Is an anchor of this reign the least of the first window of a repeat that begins `left` words before it? If not, other occurrences may lack it."""
+    before, after = divmod(reign, window)
+    return left <= before and window - 1 - left <= after
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        sizes: list[int] = []
-        found: list[np.ndarray] = []
-        n_found = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal sizes, found, n_found
-            lengths = np.fromiter(map(len, found), np.int32, len(found))
-            cells = np.concatenate(found)
-            offs = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            spots = pa.StructArray.from_arrays([pa.array(cells[:, 0]), pa.array(cells[:, 1].astype(np.int32))], ["cid", "start"])
-            batch = pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offs, spots)], ["n_words", "occurrences"])
-            sizes, found, n_found = [], [], 0
-            return batch
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal n_found
-            if len(group) < 2:
-                return
-            places = np.array([x[:2] for x in group], np.int64)
-            for left, r, who in maximal([x[2] for x in group], [x[3] for x in group], window, min_words):
-                before, after = divmod(group[who[0]][4], window)
-                if left > before or window - 1 - left > after:
-                    continue  # not the least of the repeat's first window, so other occurrences may lack this anchor
-                own = places[who]
-                own[:, 1] -= left
-                sizes.append(left + r)
-                found.append(own[np.lexsort((own[:, 1], own[:, 0]))])
-                n_found += len(own)
-                if n_found > 50_000:
-                    yield flush()
 
+def trees(suffixes: DataFrame, window: int, min_words: int) -> DataFrame:
+    """_SPOTS of suffixes(_CONTEXTS), each node's in one task."""
+
+    def repeats_of(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        places = np.array([x[:2] for x in group], np.int64)
+        for left, r, who in maximal([x[2] for x in group], [x[3] for x in group], window, min_words):
+            if _reports(left, group[who[0]][4], window):
+                yield left + r, places[who] - [0, left]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        now, group = None, []
         for part in (part for batch in batches for part in slices(batch, "right")):
-            for g, cid, pos, left, right, reign in zip(*(part.column(i).to_pylist() for i in range(6))):
-                if g != now:
-                    yield from close()
-                    now, group = g, []
-                if group and group[-1][0] == cid and group[-1][1] == pos:
-                    continue  # a row of the table that came twice
-                group.append((cid, pos, left, right, reign))
-        yield from close()
-        if found:
-            yield flush()
+            for node, cid, pos, left, right, reign in zip(*(part.column(i).to_pylist() for i in range(6))):
+                if node != now:
+                    if len(group) > 1:
+                        yield from repeats_of(group)
+                    now, group = node, []
+                if not group or group[-1][:2] != (cid, pos):  # else a row of the table that came twice
+                    group.append((cid, pos, left, right, reign))
+        if len(group) > 1:
+            yield from repeats_of(group)
+
+    return suffixes.repartition("node").sortWithinPartitions("node", "right", "cid", "pos").mapInArrow(lambda batches: _spot_batches(groups(batches)), _SPOTS)
 
-    least = F.col("occurrences")[0]
-    groups = cut(  # it's read twice
-        suffixes.mapInArrow(trees, _REPEATS)
-        .withColumn("rid", F.xxhash64(least["cid"], least["start"], "n_words"))
-        .groupBy("rid", "n_words")
-        .agg(F.first("occurrences").alias("occurrences"))  # the same repeat, found from another of its anchors
+
+def left_trees(rows: DataFrame, window: int, min_words: int) -> DataFrame:
+    """_SPOTS of rows(node, r, cid, pos, left, reign, child), each node's in one task."""
+
+    def repeats_of(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        places = np.array([x[1:3] for x in group], np.int64)
+        for left, who in maximal_at(group[0][0], [x[3] for x in group], [x[5] for x in group], window, min_words):
+            if _reports(left, group[who[0]][4], window):
+                yield left + group[0][0], places[who] - [0, left]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        now, group = None, []
+        for batch in batches:
+            for node, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if node != now:
+                    if len(group) > 1:
+                        yield from repeats_of(group)
+                    now, group = node, []
+                group.append(row)
+        if len(group) > 1:
+            yield from repeats_of(group)
+
+    rows = rows.select("node", "r", "cid", "pos", "left", "reign", "child").distinct().repartition("node").sortWithinPartitions("node")
+    return rows.mapInArrow(lambda batches: _spot_batches(groups(batches)), _SPOTS)
+
+
+def _shared_words(nodes: DataFrame, name: str) -> DataFrame:
+    """(node, name) of nodes(node, lo, hi): the words that all contexts between the two begin with."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [_common(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["node", name])
+
+    return nodes.select("node", "lo", "hi").mapInArrow(rows, f"node bigint, {name} int")
+
+
+def _with_next(rows: DataFrame, side: str, depth: str, name: str) -> DataFrame:
+    """rows with the hash of the word after the first `depth` words of their context `side`."""
+    at = [rows.columns.index(c) for c in (side, depth, "cid", "pos")]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "left"):
+                found = [_next_word(*x) for x in zip(*(part.column(i).to_pylist() for i in at))]
+                yield part.append_column(name, pa.array(found, pa.int64()))
+
+    return rows.mapInArrow(add, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, {name} bigint")
+
+
+def split_hot(rows: DataFrame, window: int, min_words: int, hot_rows: int) -> DataFrame:
+    """_SPOTS of rows(_CONTEXTS) whose nodes are each too large for a task."""
+    out = []
+    down = lambda x, y: F.xxhash64(x, y)
+
+    def sized(df: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """Rows of the nodes of two rows to hot_rows, those of the larger ones, and whether there are any."""
+        n = df.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        df = cut(df.join(n, "node"))
+        return df.where(F.col("n") <= hot_rows).drop("n"), df.where(F.col("n") > hot_rows).drop("n"), df.agg(F.max("n")).first()[0] is not None
+
+    def any_row(df: DataFrame) -> bool:
+        return bool(df.limit(1).count())
+
+    hot = rows
+    while True:
+        ends = hot.groupBy("node").agg(F.min("right").alias("lo"), F.max("right").alias("hi"))
+        hot = cut(_with_next(hot.join(_shared_words(ends, "r"), "node"), "right", "r", "child"))
+        wide = hot.where(F.col("r") + window - 1 >= min_words).drop("right")
+        while any_row(wide):
+            ends = wide.groupBy("node").agg(F.min("left").alias("lo"), F.max("left").alias("hi"), F.min("child").alias("c0"), F.max("child").alias("c1"), F.min(F.struct("cid", "pos")).alias("least"))
+            ends = cut(ends)
+            wide = cut(_with_next(wide.join(ends.select("node", "c0", "c1", "least"), "node").join(_shared_words(ends, "l"), "node"), "left", "l", "before"))
+            reports = (F.col("l") <= F.floor(F.col("reign") / window)) & (window - 1 - F.col("l") <= F.col("reign") % window)
+            out.append(
+                wide.where((F.col("l") < window) & (F.col("l") + F.col("r") >= min_words) & (F.col("c0") != F.col("c1")) & reports)
+                .selectExpr("least.cid least_cid", "least.pos - l least_start", "l + r n_words", "cid", "pos - l start")
+                .distinct()
+            )
+            deeper = wide.where(F.col("l") + 1 < window).withColumn("node", down("node", "before")).drop("c0", "c1", "least", "l", "before")
+            small, wide, more = sized(deeper)
+            if not more:
+                break
+            out.append(left_trees(small, window, min_words))
+        small, hot, more = sized(hot.withColumn("node", down("node", "child")).drop("child", "r"))
+        if more:
+            out.append(trees(small.select(*rows.columns), window, min_words))
+        if not more or not any_row(hot):
+            return reduce(DataFrame.union, out)
+
+
+def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(repeat_id, n_words, doc_id, start): a row for each occurrence of each maximal repeat; start is the place of its first word."""
+    window = min_words - gram + 1
+    src = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("cid"), "text")
+    members = src.select("cid", "doc_id", F.regexp_count("text", F.lit(r"[^ \t\n\x0b\f\r]+")).cast("int").alias("n_words")).distinct()
+    marks = anchors(src.select("cid", "text"), min_words, gram)
+    place = F.xxhash64("cid", "pos")
+    shared = cut(
+        marks.groupBy("g")
+        .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("left").alias("c"), F.max("left").alias("d"), F.count("*").alias("n"))
+        .where("a <> b")
+        .select("g", ((F.col("c") != F.col("d")).cast("int") * F.when(F.col("n") > hot_rows, 3).otherwise(1)).alias("kind"))  # 0: the left never differs; 3: hot
     )
-    spots = groups.select("rid", "n_words", F.explode("occurrences").alias("o")).select("rid", "n_words", "o.cid", "o.start")
+    by_text = cut(marks.select("g", "cid", "pos").join(shared, "g").groupBy("cid").agg(F.collect_set(F.col("pos") * 4 + F.col("kind")).alias("marks")).where(F.exists("marks", lambda m: m % 4 > 0)))
+    owners = members.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+
+    def suffixes(kind: int) -> DataFrame:
+        """_CONTEXTS of the anchors of this kind."""
+
+        def context_batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _CONTEXTS.split(", ")])
+
+        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    found = words(part.column(1), VERBATIM)
+                    at, g, reigns = select_anchors(found.first, found.hashes(), gram, window)
+                    bounds = np.searchsorted(at, found.first)
+                    rows, size = [], 0
+                    for i, (cid, text, marks) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+                        w = _text_words(text)
+                        known = {m // 4: m % 4 for m in marks}
+                        a, b = bounds[i], bounds[i + 1]
+                        reach, follow = len(w), -1
+                        for pos, gram_hash, reign in zip((at[a:b] - found.first[i]).tolist()[::-1], g[a:b].view(np.int64).tolist()[::-1], reigns[a:b].tolist()[::-1]):
+                            if pos in known:
+                                if follow < 0:
+                                    reach = len(w)
+                                elif follow not in known:
+                                    reach = min(len(w), follow + window + gram - 1)
+                                if known[pos] == kind:
+                                    rows.append((gram_hash, cid, pos, b"\0".join(w[max(0, pos - window) : pos][::-1]), b"\0".join(w[pos:reach]), reign))
+                                    size += len(rows[-1][3]) + len(rows[-1][4])
+                                    if size > SLICE_BYTES:
+                                        yield context_batch(rows)
+                                        rows, size = [], 0
+                            follow = pos
+                    if rows:
+                        yield context_batch(rows)
+
+        holders = by_text.where(F.exists("marks", lambda m: m % 4 == kind)).join(owners, "cid")
+        return src.join(holders.hint("shuffle_hash"), ["doc_id", "cid"]).select("cid", "text", "marks").mapInArrow(contexts, _CONTEXTS)
+
+    spots = trees(suffixes(1), window, min_words)
+    if shared.where("kind = 3").limit(1).count():
+        spots = spots.union(split_hot(cut(suffixes(3)), window, min_words, hot_rows))
+    spots = spots.select(F.xxhash64("least_cid", "least_start", "n_words").alias("own"), F.lit(None).cast("bigint").alias("whole"), "cid", "start", "n_words")
     # a text with copies is a repeat itself, from end to end
-    copies = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
-    whole = (
-        src.join(copies.hint("shuffle_hash"), ["doc_id", "cid"])
-        .select("cid", F.regexp_count("text", F.lit(r"[^ \t\n\x0b\f\r]+")).cast("int").alias("n_words"))
-        .distinct()
-        .where(F.col("n_words") >= min_words)
-        .select(F.xxhash64("cid", F.lit(0), "n_words").alias("rid"), "n_words", "cid", F.lit(0).alias("start"))
-    )
-    covered = spots.where("start = 0").select("cid", "n_words", "start")
-    spots = spots.union(whole.join(covered, ["cid", "n_words", "start"], "left_anti").select("rid", "n_words", "cid", "start"))
-    return (
-        spots.join(members, "cid")
-        .groupBy("rid", "n_words")
-        .agg(F.array_sort(F.collect_set(F.struct("doc_id", "start"))).alias("o"))
-        .select("n_words", F.size("o").alias("n_occurrences"), F.col("o.doc_id").alias("doc_ids"), F.col("o.start").alias("starts"))
-    )
+    whole = members.groupBy("cid").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words")).where((F.col("n") > 1) & (F.col("n_words") >= min_words))
+    whole = whole.select(F.lit(None).cast("bigint").alias("own"), F.xxhash64("cid", F.lit(0), "n_words").alias("whole"), "cid", F.lit(0).alias("start"), "n_words")
+    # the same repeat may be found from several of its anchors, and a whole text among them
+    once = spots.union(whole).groupBy("cid", "start", "n_words").agg(F.coalesce(F.max("own"), F.max("whole")).alias("repeat_id"))
+    return once.join(members.select("cid", "doc_id"), "cid").select("repeat_id", "n_words", "doc_id", "start")

@@ -332,6 +332,13 @@ def brute_repeats(texts: dict[int, str], least: int) -> set:
     return out
 
 
+def grouped(df) -> set:
+    out = {}
+    for r in df.collect():
+        out.setdefault((r["repeat_id"], r["n_words"]), []).append((r["doc_id"], r["start"]))
+    return {(n, tuple(sorted(occ))) for (_, n), occ in out.items()}
+
+
 def test_maximal_repeats_are_all_of_them(spark):
     rng = random.Random(11)
     passages = [prose(rng, n).split() for n in (14, 20, 33)]
@@ -348,17 +355,29 @@ def test_maximal_repeats_are_all_of_them(spark):
     texts[54] = prose(rng, 30)
     texts[55] = texts[54]
     df = spark.createDataFrame(list(texts.items()), DOC).repartition(3)
-    got = {(r["n_words"], tuple(zip(r["doc_ids"], r["starts"]))) for r in repeats.maximal_repeats(df, min_words=10, gram=4).collect()}
     want = brute_repeats(texts, 10)
-    assert not got - want and not want - got, (sorted(got - want), sorted(want - got))
+    for hot_rows in (repeats.HOT_ROWS, 6, 2):  # an anchor of more places than that is split among tasks
+        got = grouped(repeats.maximal_repeats(df, min_words=10, gram=4, hot_rows=hot_rows))
+        assert not got - want and not want - got, (hot_rows, sorted(got - want), sorted(want - got))
+
+
+def test_one_passage_in_many_documents(spark):
+    rng = random.Random(19)
+    passage = prose(rng, 60)
+    docs = [(d, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for d in range(5000)]
+    df = spark.createDataFrame(docs, DOC)
+    got = grouped(repeats.maximal_repeats(df, hot_rows=500))
+    assert {(n, tuple(d for d, _ in occ)) for n, occ in got if len(occ) > 50} == {(60, tuple(range(5000)))}
+    assert got == grouped(repeats.maximal_repeats(df))
 
 
 def test_repeats_of_odd_tables(spark):
     rng = random.Random(12)
     p = prose(rng, 60)
     rows = odd_rows(rng) + [(20, p, 1, "", 1, "", 1), (21, prose(rng, 9) + "  " + p, 1, "", 1, "", 1), (None, p, 1, "", 1, "", 1), (22, "in " * 500, 1, "", 1, "", 1)]
-    got = repeats.maximal_repeats(spark.createDataFrame(rows, ODD)).collect()
-    assert [(r["n_words"], r["doc_ids"], r["starts"]) for r in got] == [(60, [20, 21], [0, 9])]
+    assert grouped(repeats.maximal_repeats(spark.createDataFrame(rows, ODD))) == {(60, ((20, 0), (21, 9)))}
+    control = [(1, p.replace(" ", " \x01\x00 ", 30)), (2, "x\x00 " + p.replace(" ", " \x01\x00 ", 30) + " \x01"), (3, prose(rng, 3)), (3, p.replace(" ", " \x01\x00 ", 30) + " \x00")]
+    assert {(n, tuple(d for d, _ in occ)) for n, occ in grouped(repeats.maximal_repeats(spark.createDataFrame(control, DOC)))} == {(90, (1, 2, 3))}
 
 
 # --- 8 ---
