@@ -2,20 +2,22 @@
 
 Encoding: the documents of a block (a run of one task's input, `block_bytes` of
 text) are split into pre-tokens, and the block's distinct pre-tokens become its
-dictionary. Exploding gives one row for each (block, pre-token), and each
-document keeps, in order, its positions as references into the dictionary: the
-position list of the exploded form without repeating the word. Rows are shuffled
-by pre-token, each distinct one is encoded once, its ids are joined back to
-every block that has it, and the blocks reassemble their documents by position.
+dictionary, the most frequent first. Exploding gives the block's distinct words, put into buckets by
+their hash, and for each document its positions: places in the dictionary, in
+order, which is the position list of the exploded form without repeating the
+word. Words are shuffled by bucket, each distinct one is encoded once there, its
+ids are joined back to every block that has it, and the blocks reassemble their
+documents by position.
 
 Decoding joins each id to the token-byte table by position and concatenates.
 
-The texts are split twice, once for the words and once for the positions: that
-costs less than sending the positions through both shuffles. `docs` must
-therefore come in the same order each time it is read, as tables of files do.
+The texts are split once: words and positions leave in one shuffle, and both
+sides read it. Each task first sorts its rows by a hash, so a task that runs
+again numbers the words as it did before, whatever order its input comes in.
 
-Shuffled are the blocks' distinct words and 2 to 4 bytes a pre-token, not the
-texts and not a row a token. Nothing is broadcast; the vocabulary is a file of
+Shuffled are the blocks' distinct words, their ids and, for each pre-token, the
+entropy of its rank, not the texts and not a row a token. A row holds the words
+of a block and bucket together, compressed. Nothing is broadcast; the vocabulary is a file of
 fixed size read once by each worker, whose path is a parameter.
 
 Defined cases: null text gives null ids, empty text an empty list; a null
@@ -31,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,9 @@ from .vocab import DEFAULT_PATTERN, DEFAULT_VOCAB, byte_table, encoding, token_b
 
 BLOCK_BYTES = 24 << 20
 ENCODED = "doc_id bigint, token_ids array<int>, n_tokens int, round_trip boolean"
-_EXPLODED = "block bigint, seq bigint, doc_id bigint, word binary, refs binary, digest bigint"
+#: A bucket's words: owner is their block. A block's documents: owner is DOCS. The buckets of a block's dictionary: owner is ORDER.
+_EXPLODED = "block bigint, owner bigint, data binary"
+DOCS, ORDER = -1, -2
 
 
 @lru_cache(maxsize=2)
@@ -54,8 +59,12 @@ def _raw(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def split_column(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[list[np.ndarray | None], list[bytes | None]]:
-    """For each text the references of its pre-tokens into `known`, which grows, and its bytes; None for null."""
+def _digest(raw) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
+def split_column(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(references of all pre-tokens into `known`, which grows; how many each text has, -1 for null; digests of the texts)."""
     if pattern == DEFAULT_PATTERN:
         try:
             raw, starts, ends, first = pretokens(col)
@@ -69,127 +78,185 @@ def split_column(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[
             own = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(starts[at].tolist(), ends[at].tolist())), np.uint32, len(at))
             refs = own[which] if len(at) else np.zeros(0, np.uint32)
             bounds = np.append(starts, len(raw))[first].tolist()
-            first = first.tolist()
-            valid = col.is_valid().to_pylist()
-            return [refs[i:j] if ok else None for i, j, ok in zip(first, first[1:], valid)], [raw[i:j] if ok else None for i, j, ok in zip(bounds, bounds[1:], valid)]
+            view = memoryview(raw)
+            digests = np.fromiter((_digest(view[i:j]) for i, j in zip(bounds, bounds[1:])), np.int64, len(col))
+            return refs, np.where(col.is_valid().to_numpy(zero_copy_only=False), np.diff(first), -1), digests
     return _split_slowly(col, pattern, known)
 
 
-def _split_slowly(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[list[np.ndarray | None], list[bytes | None]]:
+def _split_slowly(col: pa.Array, pattern: str, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same by the regular expression itself: for other patterns, broken text and words whose hashes collide."""
     split = _splitter(pattern)
     texts = col.to_pylist()
-    refs = [None if t is None else np.fromiter((known.setdefault(_raw(w), len(known)) for w in split(t)), np.uint32) for t in texts]
-    return refs, [None if t is None else _raw(t) for t in texts]
+    refs = [np.fromiter((known.setdefault(_raw(w), len(known)) for w in split(t or "")), np.uint32) for t in texts]
+    counts = [-1 if t is None else len(r) for t, r in zip(texts, refs)]
+    return np.concatenate([*refs, np.zeros(0, np.uint32)]), np.array(counts, np.int64), np.array([_digest(_raw(t or "")) for t in texts], np.int64)
+
+
+def _join(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one compressed piece of bytes."""
+    parts = [a.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
+
+
+def _part(data: bytes, kinds: list) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+_PLANES = [np.uint8, np.uint8, np.uint16, np.uint32]
+_TWO, _THREE, _FIVE = 192, 248, 255  # first bytes from which one, two or four more follow
+_FROM_THREE = _TWO + (_THREE - _TWO) * 256
+_FROM_FIVE = _FROM_THREE + (_FIVE - _THREE) * 65536
+
+
+def _pack(ranks: np.ndarray) -> list[np.ndarray]:
+    """Ranks in planes: a byte of each, and one, two or four more of those that are larger."""
+    r = ranks.astype(np.int64)
+    two, three, five = (r >= _TWO) & (r < _FROM_THREE), (r >= _FROM_THREE) & (r < _FROM_FIVE), r >= _FROM_FIVE
+    first = np.select([two, three, five], [_TWO + (r - _TWO) // 256, _THREE + (r - _FROM_THREE) // 65536, _FIVE], r).astype(np.uint8)
+    return [first, ((r[two] - _TWO) % 256).astype(np.uint8), ((r[three] - _FROM_THREE) % 65536).astype(np.uint16), (r[five] - _FROM_FIVE).astype(np.uint32)]
+
+
+def _unpack(planes: list[np.ndarray]) -> np.ndarray:
+    r = planes[0].astype(np.int64)
+    two, three, five = (r >= _TWO) & (r < _THREE), (r >= _THREE) & (r < _FIVE), r == _FIVE
+    r[two] = (r[two] - _TWO) * 256 + planes[1] + _TWO
+    r[three] = (r[three] - _THREE) * 65536 + planes[2] + _FROM_THREE
+    r[five] = planes[3].astype(np.int64) + _FROM_FIVE
+    return r
 
 
-def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """ENCODED for docs(doc_id, text): ids of each document and whether decoding them gave its text again."""
-    names = [x.split()[0] for x in _EXPLODED.split(", ")]
+def _exploded_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["block", "owner", "data"])
+
+
+def _block_rows(block: int, known: dict[bytes, int], parts: list[list[np.ndarray]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """The rows of one block: its words by bucket, its documents, and the buckets of its dictionary."""
+    times = np.zeros(len(known), np.int64)
+    for part in parts:
+        times += np.bincount(part[0], minlength=len(known))
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    for refs, *about in parts:
+        yield block, DOCS, _join([*about, *_pack(rank[refs])])
+    words = list(known)
+    words = [words[i] for i in order.tolist()]
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+    yield block, ORDER, _join([bucket.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy()])
+    by = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else []
+    for a, b in zip(heads, [*heads[1:], len(by)]):
+        own = [words[i] for i in by[a:b].tolist()]
+        yield int(bucket[by[a]]), block, _join([np.array([len(w) for w in own], np.uint32), np.frombuffer(b"".join(own), np.uint8)])
+
+
+def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_PATTERN, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """ENCODED for docs(doc_id, text): ids of each document and whether decoding them gave its text again.
+
+    buckets: of words; twice the session's shuffle partitions if None.
+    """
+    n_buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 32
-        block, known, seen = 0, {}, 0
-
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            words = list(known)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, base + block)), pa.array(np.arange(at, at + n)), pa.nulls(n, pa.int64()), pa.array(part, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())],
-                    names,
-                )
+        block = n_buckets + (TaskContext.get().partitionId() << 32)
+        known: dict[bytes, int] = {}
+        parts: list[list[np.ndarray]] = []
+        seen = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for row in _block_rows(block, known, parts, n_buckets):
+                yield _exploded_batch([row])
 
         for batch in batches:
             for part in slices(batch):
-                refs, raws = split_column(part.column(1), pattern, known)
-                n = part.num_rows
-                packed = [None if r is None else _pack(r) for r in refs]
-                digests = [None if r is None else xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raws]
-                seen += sum(len(r) for r in raws if r is not None)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base + block)), pa.array(np.full(n, -1)), part.column(0), pa.nulls(n, pa.binary()), pa.array(packed, pa.binary()), pa.array(digests, pa.int64())], names)
+                refs, counts, digests = split_column(part.column(1), pattern, known)
+                ids = part.column(0)
+                parts.append([refs, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), counts.astype(np.int64), digests])
+                seen += part.column(1).nbytes
                 if seen >= block_bytes:
-                    yield from dictionary()
-                    block, known, seen = block + 1, {}, 0
-        yield from dictionary()
+                    yield from close()
+                    block, known, parts, seen = block + 1, {}, [], 0
+        if parts:
+            yield from close()
+
+    kind = np.uint16 if len(token_bytes(vocab)) <= 1 << 16 else np.uint32
 
     def words_to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoding(vocab, pattern)._encode_single_piece
-        last, ids = None, b""
+        bucket, memo = None, {}
         for batch in batches:
-            out = []
-            for w in batch.column(2).to_pylist():  # sorted, so each distinct word is encoded once
-                if w != last:
-                    last, ids = w, np.array(one(w), np.uint16 if len(token_bytes(vocab)) <= 1 << 16 else np.uint32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "seq", "ids"])
-
-    def reassemble(dictionary: pa.Table, documents: pa.Table) -> pa.Table:
+            for b, owner, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if b != bucket:  # all blocks' words of a bucket come together, so each distinct one is encoded once
+                    bucket, memo = b, {}
+                sizes, raw = _part(data, [np.uint32, np.uint8])
+                raw, ids = raw.tobytes(), []
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                for x, y in zip([0, *ends], ends):
+                    w = raw[x:y]
+                    got = memo.get(w)
+                    if got is None:
+                        got = memo[w] = one(w)
+                    ids.append(got)
+                flat = np.fromiter((t for x in ids for t in x), kind)
+                yield pa.RecordBatch.from_arrays([pa.array([owner]), pa.array([b]), pa.array([_join([np.array([len(x) for x in ids], np.uint32), flat])], pa.binary())], ["block", "owner", "data"])
+
+    def reassemble(replies: pa.Table, own: pa.Table) -> pa.Table:
         lengths_of, starts_of, flat_bytes = byte_table(vocab)
-        kind = np.uint16 if len(lengths_of) <= 1 << 16 else np.uint32
-        order = np.argsort(dictionary.column("seq").to_numpy(), kind="stable")
-        parts = dictionary.column("ids").take(pa.array(order)).to_pylist()
-        flat = np.frombuffer(b"".join(parts), kind).astype(np.int32)
-        lengths = np.fromiter((len(x) for x in parts), np.int64, len(parts)) // kind().itemsize
-        firsts = np.cumsum(lengths) - lengths
-        rows, out = [], []
-        for doc, packed, digest in zip(*(documents.column(c).to_pylist() for c in ("doc_id", "refs", "digest"))):
-            if packed is None:
-                rows.append((doc, None, None, None))
+        order = np.argsort(replies.column("owner").to_numpy(), kind="stable").tolist()
+        answers = replies.column("data").to_pylist()
+        answers = [_part(answers[i], [np.uint32, kind]) for i in order]
+        flat = np.concatenate([np.zeros(0, kind), *(x[1] for x in answers)])
+        in_order = np.concatenate([np.zeros(0, np.int64), *(x[0].astype(np.int64) for x in answers)])
+        rows = list(zip(own.column("owner").to_pylist(), own.column("data").to_pylist()))
+        lengths = firsts = in_order
+        for owner, data in rows:
+            if owner == ORDER:
+                bucket = _part(data, [np.uint8])[0].reshape(4, -1).T.copy().view(np.uint32).ravel()
+                by = np.argsort(bucket, kind="stable")
+                lengths, firsts = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+                lengths[by] = in_order
+                firsts[by] = np.cumsum(in_order) - in_order
+        out = []
+        for owner, data in rows:
+            if owner != DOCS:
                 continue
-            refs = _unpack(packed)
+            ids, has_id, counts, digests, *planes = _part(data, [np.int64, np.uint8, np.int64, np.int64, *_PLANES])
+            refs = _unpack(planes)
             n = lengths[refs]
-            total = int(n.sum())
-            at = np.repeat(firsts[refs] - (np.cumsum(n) - n), n) + np.arange(total)
-            ids = flat[at] if total else np.zeros(0, np.int32)
-            size = lengths_of[ids]
-            back = flat_bytes[np.repeat(starts_of[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
-            rows.append((doc, ids, total, xxhash.xxh3_64_intdigest(back) - (1 << 63) == digest))
-            if len(rows) >= 1024:
-                out.append(_rows(rows))
-                rows = []
-        return pa.Table.from_batches(out + [_rows(rows)] if rows else out)
-
-    exploded = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(explode, _EXPLODED)
-    coded = (
-        exploded.where("word is not null")
-        .select("block", "seq", "word")
-        .repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(words_to_ids, "block bigint, seq bigint, ids binary")
-    )
-    kept = exploded.where("word is null").select("block", "doc_id", "refs", "digest")
-    return coded.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(reassemble, ENCODED)
-
-
-def _pack(refs: np.ndarray) -> bytes:
-    """References, two bytes each while they fit; an early word has a small one."""
-    wide = refs >= 0xFFFF
-    if not wide.any():
-        return b"\0" + refs.astype("<u2").tobytes()
-    return b"\1" + np.where(wide, 0xFFFF, refs).astype("<u2").tobytes() + refs[wide].astype("<u4").tobytes() + int(wide.sum()).to_bytes(8, "little")
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    if packed[0] == 0:
-        return np.frombuffer(packed, "<u2", offset=1).astype(np.int64)
-    n_wide = int.from_bytes(packed[-8:], "little")
-    n = (len(packed) - 9 - 4 * n_wide) // 2
-    out = np.frombuffer(packed, "<u2", n, 1).astype(np.int64)
-    out[out == 0xFFFF] = np.frombuffer(packed[1 + 2 * n : -8], "<u4", n_wide)
-    return out
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    docs, ids, n, ok = zip(*rows)
-    sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
-    offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = np.concatenate([x for x in ids if x is not None]) if any(x is not None for x in ids) else np.zeros(0, np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists, pa.array(n, pa.int32()), pa.array(ok, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+            tokens = flat[np.repeat(firsts[refs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int32)
+            null = counts < 0
+            upto = np.concatenate([[0], np.cumsum(np.where(null, 0, counts))])
+            offs = np.concatenate([[0], np.cumsum(n)])[upto]  # tokens before each text
+            size = lengths_of[tokens]
+            back = flat_bytes[np.repeat(starts_of[tokens] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+            view, ends = memoryview(back), np.concatenate([[0], np.cumsum(size)])[offs].tolist()
+            ok = np.fromiter((_digest(view[x:y]) == d for x, y, d in zip(ends, ends[1:], digests.tolist())), bool, len(ids))
+            out.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, mask=has_id == 0),
+                        pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(tokens), mask=pa.array(null)),
+                        pa.array(np.diff(offs).astype(np.int32), mask=null),
+                        pa.array(ok, mask=null),
+                    ],
+                    ["doc_id", "token_ids", "n_tokens", "round_trip"],
+                )
+            )
+        return pa.Table.from_batches(out)
+
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").sortWithinPartitions(key, "doc_id", F.length("text"))
+    exploded = rows.mapInArrow(explode, _EXPLODED).repartition("block")
+    coded = exploded.where("owner >= 0").sortWithinPartitions("block").mapInArrow(words_to_ids, _EXPLODED)
+    return coded.groupBy("block").cogroup(exploded.where("owner < 0").groupBy("block")).applyInArrow(reassemble, ENCODED)
 
 
 def decode(encoded: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:

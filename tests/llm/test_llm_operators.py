@@ -147,8 +147,9 @@ def test_bpe_is_the_library_and_comes_back(spark):
     rng = random.Random(5)
     texts = ["", None, "Hello  world\n\n  it's  fine ", "日本語🙂 naïve é", "x" * 3000, "\x00 control \t\t", "1234567 + 89", prose(rng, 5000), "<|endoftext|> stays text"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], DOC).repartition(3)
-    docs = spark.createDataFrame(docs.collect(), DOC)
     out = bpe.encode(docs, block_bytes=2000)
+    assert {r["doc_id"] for r in out.collect()} == set(range(len(texts) * 2))
+    out = bpe.encode(docs.repartition(5, "text"), block_bytes=2000, buckets=7)
     rows = {r["doc_id"]: r for r in out.collect()}
     enc = vocab.encoding(vocab.DEFAULT_VOCAB)
     back = {r["doc_id"]: r["text"] for r in bpe.decode(out).collect()}
@@ -159,11 +160,21 @@ def test_bpe_is_the_library_and_comes_back(spark):
         assert rows[i]["round_trip"] == (None if t is None else True)
 
 
-def test_references_pack():
-    for top in (5, 0xFFFE, 0xFFFF, 200_000):
-        x = np.array([0, 1, top, 3, top], np.uint32)
+def test_ranks_pack():
+    for top in (5, 191, 192, 14_527, 14_528, 14_528 + 7 * 65536 - 1, 14_528 + 7 * 65536, 2_000_000):
+        x = np.array([0, 1, top, 3, top, 192], np.uint32)
         assert bpe._unpack(bpe._pack(x)).tolist() == x.tolist()
     assert bpe._unpack(bpe._pack(np.zeros(0, np.uint32))).tolist() == []
+    parts = bpe._part(bpe._join([np.arange(5), np.zeros(0, np.uint8), np.array([7], np.uint16)]), [np.int64, np.uint8, np.uint16])
+    assert [p.tolist() for p in parts] == [[0, 1, 2, 3, 4], [], [7]]
+
+
+def test_a_task_numbers_its_words_alike_in_any_order(spark):
+    rng = random.Random(20)
+    rows = [(i, prose(rng, 30)) for i in range(200)]
+    ids = lambda r: sorted((x["doc_id"], tuple(x["token_ids"]), x["round_trip"]) for x in bpe.encode(spark.createDataFrame(r, DOC).coalesce(1), block_bytes=3000).collect())
+    enc = vocab.encoding(vocab.DEFAULT_VOCAB)
+    assert ids(rows) == ids(rows[::-1]) == [(i, tuple(enc.encode_ordinary(t)), True) for i, t in rows]
 
 
 def test_decode_of_unknown_ids(spark):
