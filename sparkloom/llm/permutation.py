@@ -12,10 +12,11 @@ vec_id after the pivots, which are untypically near to their own order; pivots
 only where other rows don't suffice) the true neighbours are found by brute force
 over the whole table, and the bound is the footrule distance within which the
 share `target` of them lies. A query that meets fewer than k in a shard takes
-those of the k least footrules there. No number of candidates is capped. Every
-row is a query against every shard, so the index keeps its recall on vectors that
-don't cluster; there the bound admits most rows, up to all of them (then no lists
-are walked), and the cost is that of brute force, the square of the table.
+those of the k least footrules there. No number of candidates is capped. All rows
+are indexed; queries are the rows whose vec_id `ask_every` divides, and each asks
+every shard, so the index keeps its recall on vectors that don't cluster; there
+the bound admits most rows, up to all of them (then no lists are walked), and the
+cost is that of brute force, queries times rows.
 
 Defined cases: null, empty, non-finite or zero vectors and vectors of another length than most have no
 neighbours and are none; rows with a null vec_id are left out; of rows that
@@ -87,8 +88,8 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def nearest(df: DataFrame, k: int = K, n_pivots: int = PIVOTS, prefix: int = PREFIX, n_probe: int = N_PROBE, target: float = TARGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, neighbor_id, similarity, rank) of the k nearest others of every vector by cosine."""
+def nearest(df: DataFrame, k: int = K, n_pivots: int = PIVOTS, prefix: int = PREFIX, n_probe: int = N_PROBE, target: float = TARGET, shard_rows: int = SHARD_ROWS, ask_every: int = 1) -> DataFrame:
+    """(vec_id, neighbor_id, similarity, rank) of the k nearest others, among all vectors, of each whose vec_id `ask_every` divides."""
     spark = df.sparkSession
     unit = cut(_unit(df))
     sizes = unit.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -129,7 +130,7 @@ def nearest(df: DataFrame, k: int = K, n_pivots: int = PIVOTS, prefix: int = PRE
     n_shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")
     data = unit.select("vec_id", "v", shard.alias("shard"), F.lit(0).alias("side"))
-    asks = unit.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("side"))
+    asks = unit.where(F.col("vec_id") % ask_every == 0).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("side"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, inv, ids, x = None, [], None, None, None

@@ -30,7 +30,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return permutation.nearest(table(spark, sf_dir, "embeddings"))
+    return permutation.nearest(table(spark, sf_dir, "embeddings"), ask_every=20)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,15 +16,18 @@ of t bits left out, so two values within t meet under some choice. Fingerprints
 that meet are verified by vectorised popcounts. Within a large bucket only pairs
 not yet connected are compared, so groups of copies cost little more than their
 number, and no partner is left out: the groups are exactly the connected
-components of all pairs.
+components of all pairs. A bucket of more than `hot_rows` is cut into blocks for
+as many tasks; when the components so far are known, its rows outside the bucket's
+largest component are held against every block, so nothing between blocks is lost.
 
 Equal fingerprints are collapsed before probing. Components are found by
 contraction rounds on checkpointed edges.
 
 Defined cases: a text without words (null, empty, punctuation) is near no other;
-null doc_id takes no part and stays; rows that repeat a doc_id with the same
-fingerprint are one document, of which one row stays; of a group the least
-doc_id stays; other columns are not read; an empty table gives an empty result.
+null doc_id takes no part and stays; rows that repeat a doc_id and text are one
+document, of which one row stays; a doc_id with several texts is as many
+documents, each with groups of its own, and rows are dropped, not ids; of a group
+the least doc_id stays (of several texts of that, the least by hash); other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,16 +42,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import connected_components, cut
+from sparkloom.runtime import cut
 
 from .arrowtext import PLAIN, mix, slices, words
+from .components import connected_components
 
 PROBE_BITS = 10
 VERIFY_BITS = 40
+#: Rows of a bucket that one task takes at once; larger ones are cut into blocks.
+HOT_ROWS = 1 << 15
 #: Estimated seconds of posting one key and of verifying one pair.
 COST_KEY, COST_PAIR = 4e-6, 3e-9
 _F = ("f0", "f1", "f2", "f3")
-_FP = "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+_BITS = "f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 _SALTS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in (1, 2, 3, 4)]
 
 
@@ -79,15 +85,18 @@ def fingerprint_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, txt, f0, f1, f2, f3) of the documents that have words; txt is a digest of the text."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                f, has = fingerprint_column(part.column(1))
+                f, has = fingerprint_column(part.column(2))
                 f = f[has].view(np.int64)
-                ids = part.column(0).filter(pa.array(has))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], ["doc_id", *_F])
+                ids = part.filter(pa.array(has)).columns[:2]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], ["doc_id", "txt", *_F])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null").mapInArrow(rows, _FP)
+    usable = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
+    return usable.select("doc_id", F.xxhash64("text").alias("txt"), "text").mapInArrow(rows, f"doc_id bigint, txt bigint, {_BITS}")
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -200,9 +209,84 @@ def link_bucket(ids: np.ndarray, f: np.ndarray, probe: int, verify: int) -> list
     return out
 
 
-def near_edges(prints: DataFrame, plan: list[tuple[list[int], int]], probe_bits: int, verify_bits: int) -> DataFrame:
-    """(a, b) links of doc_ids whose components are those of all near pairs of prints(doc_id, f0..f3), all fingerprints distinct."""
-    names = ["key", "doc_id", *_F]
+def bucket_links(batches: Iterator[pa.RecordBatch], probe_bits: int, verify_bits: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) links of rows (key, node, f0..f3) sorted by key; only rows of one key are compared."""
+
+    def work(key: np.ndarray, ids: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, len(key)))
+        found_a, found_b = [], []
+        for h, s in zip(heads[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+            for x, y in link_bucket(ids[h : h + s], f[h : h + s], probe_bits, verify_bits):
+                found_a.append([x])
+                found_b.append([y])
+        end = np.repeat(heads + sizes, sizes)
+        rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 64), sizes))
+        for k in range(1, 64):
+            rows = rows[rows + k < end[rows]]
+            if not len(rows):
+                break
+            ok = rows[_within(f[rows], f[rows + k], probe_bits, verify_bits)]
+            found_a.append(ids[ok])
+            found_b.append(ids[ok + k])
+        if found_a:
+            pairs = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["a", "b"])
+
+    kept: list[np.ndarray] = []  # rows of six numbers
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+        rows += batch.num_rows
+        if rows < 100_000:
+            continue
+        x = np.concatenate(kept)
+        last = int(np.searchsorted(x[:, 0], x[-1, 0]))  # the last bucket may go on
+        if last:
+            yield from work(x[:last, 0], x[:last, 1], np.ascontiguousarray(x[:last, 2:]).view(np.uint64))
+        kept, rows = [x[last:].copy()], 0
+    if kept:
+        x = np.concatenate(kept)
+        yield from work(x[:, 0], x[:, 1], np.ascontiguousarray(x[:, 2:]).view(np.uint64))
+
+
+def block_links(batches: Iterator[pa.RecordBatch], probe_bits: int, verify_bits: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) links of rows (key, node, f0..f3, component, block, side), sorted by key, block and side: those of side 1 are held against those of side 0."""
+    now, held, x = None, [], None
+    for batch in batches:
+        every = np.column_stack([c.to_numpy() for c in batch.columns])
+        edges = np.append(np.flatnonzero(np.append(True, (every[1:, [0, 7, 8]] != every[:-1, [0, 7, 8]]).any(axis=1))), len(every)) if len(every) else []
+        for i, j in zip(edges[:-1], edges[1:]):
+            run = every[i:j]
+            if now != (run[0, 0], run[0, 7]):
+                now, held, x = (run[0, 0], run[0, 7]), [], None
+            if run[0, 8] == 0:
+                held.append(run)
+                continue
+            if not held:
+                continue
+            if x is None:
+                x = np.concatenate(held)
+                f = np.ascontiguousarray(x[:, 2:6]).view(np.uint64)
+            own = np.ascontiguousarray(run[:, 2:6]).view(np.uint64)
+            found = []
+            for k in range(len(run)):
+                near = _within(f, own[k], probe_bits, verify_bits)
+                near = near[x[near, 6] != run[k, 6]]
+                if len(near):  # one link to each component is enough
+                    near = near[np.unique(x[near, 6], return_index=True)[1]]
+                    found.append(np.column_stack([np.full(len(near), run[k, 1]), x[near, 1]]))
+            if found:
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+
+def near_edges(prints: DataFrame, plan: list[tuple[list[int], int]], probe_bits: int, verify_bits: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b) links of nodes whose components are those of all near pairs of prints(node, f0..f3), all fingerprints distinct."""
+    links = "a bigint, b bigint"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,74 +294,52 @@ def near_edges(prints: DataFrame, plan: list[tuple[list[int], int]], probe_bits:
                 part = batch.slice(at, 4096)
                 f0 = np.ascontiguousarray(part.column(1).to_numpy()).view(np.uint64)
                 for key in _keys(f0, plan):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *part.columns], names)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(key: np.ndarray, ids: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(heads, len(key)))
-            found_a, found_b = [], []
-            for h, s in zip(heads[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-                for x, y in link_bucket(ids[h : h + s], f[h : h + s], probe_bits, verify_bits):
-                    found_a.append([x])
-                    found_b.append([y])
-            end = np.repeat(heads + sizes, sizes)
-            rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 64), sizes))
-            for k in range(1, 64):
-                rows = rows[rows + k < end[rows]]
-                if not len(rows):
-                    break
-                ok = rows[_within(f[rows], f[rows + k], probe_bits, verify_bits)]
-                found_a.append(ids[ok])
-                found_b.append(ids[ok + k])
-            if found_a:
-                pairs = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["a", "b"])
-
-        kept: list[pa.RecordBatch] = []
-        rows = 0
-
-        def arrays(t: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            cols = [np.concatenate([b.column(i).to_numpy() for b in t]) for i in range(6)]
-            return cols[0], cols[1], np.column_stack(cols[2:]).view(np.uint64)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept.append(batch)
-            rows += batch.num_rows
-            if rows < 100_000:
-                continue
-            key, ids, f = arrays(kept)
-            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            if last:
-                yield from work(key[:last], ids[:last], f[:last])
-            kept = [pa.RecordBatch.from_arrays([pa.array(key[last:]), pa.array(ids[last:]), *(pa.array(np.ascontiguousarray(f[last:, k]).view(np.int64)) for k in range(4))], names)]
-            rows = len(key) - last if last else 0
-        if kept:
-            yield from work(*arrays(kept))
-
-    posted = prints.select("doc_id", *_F).mapInArrow(post, f"key bigint, {_FP}")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint")
-
-
-def near_groups(docs: DataFrame, probe_bits: int = PROBE_BITS, verify_bits: int = VERIFY_BITS) -> DataFrame:
-    """(doc_id, kept_doc_id) of every document in a group of at least two; the least doc_id of the group is kept."""
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *part.columns], ["key", "node", *_F])
+
+    def linked(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(*by).sortWithinPartitions(*by).select("key", "node", *_F).mapInArrow(lambda batches: bucket_links(batches, probe_bits, verify_bits), links)
+
+    posted = prints.select("node", *_F).mapInArrow(post, f"key bigint, node bigint, {_BITS}")
+    hot = cut(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key", F.ceil(F.col("n") / hot_rows).alias("blocks")))
+    if not hot.limit(1).count():
+        return linked(posted, "key")
+    # the key of a block is its own, so that rows of other blocks aren't taken for its bucket
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = cut(posted.join(hot, "key").withColumn("block", block))
+    first = cut(linked(posted.join(hot, "key", "left_anti"), "key").union(linked(rows.withColumn("key", F.xxhash64("key", "block")), "key")))
+    parts = connected_components(first).withColumnRenamed("component", "c")
+    rows = cut(rows.join(parts, "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c"))
+    largest = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    rows = rows.join(cut(largest.select("key", F.col("m.component").alias("main"))), "key")
+    columns = ["key", "node", *_F, "component", "block", "side"]
+    data = rows.withColumn("side", F.lit(0)).select(*columns)
+    asks = rows.where("component <> main").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(*columns)
+    cross = data.union(asks).repartition("key", "block").sortWithinPartitions("key", "block", "side").mapInArrow(lambda batches: block_links(batches, probe_bits, verify_bits), links)
+    return first.union(cross)
+
+
+def _members(docs: DataFrame, probe_bits: int, verify_bits: int, hot_rows: int) -> DataFrame:
+    """(doc_id, txt, kept) of every document in a group of at least two; kept is the (doc_id, txt) that stays."""
     prints = cut(fingerprints(docs).distinct())
-    reps = cut(prints.groupBy(*_F).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *_F))
-    # a doc_id may stand for several fingerprints when texts differ: number the fingerprints by a hash of all bits
+    # the numbers are written down, so they stay what they are
+    reps = cut(prints.groupBy(*_F).agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), *_F))
     n, together = bit_counts(reps)
     plan = allocate(n, together, probe_bits)
-    links = near_edges(reps, plan, probe_bits, verify_bits) if n else reps.selectExpr("doc_id a", "doc_id b").limit(0)
-    same = prints.withColumnRenamed("doc_id", "b").join(reps.withColumnRenamed("doc_id", "a"), list(_F)).where("a <> b").select("a", "b")
-    return connected_components(links.union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
+    links = near_edges(reps, plan, probe_bits, verify_bits, hot_rows) if n else reps.selectExpr("node a", "node b").limit(0)
+    grouped = prints.join(reps, list(_F)).select("doc_id", "txt", "node").join(connected_components(links), "node", "left").select("doc_id", "txt", F.coalesce("component", "node").alias("component"))
+    kept = cut(grouped.groupBy("component").agg(F.min(F.struct("doc_id", "txt")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept"))
+    return grouped.join(kept, "component").select("doc_id", "txt", "kept")
+
+
+def near_groups(docs: DataFrame, probe_bits: int = PROBE_BITS, verify_bits: int = VERIFY_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, kept_doc_id) of every document in a group of at least two; the least doc_id of the group is kept."""
+    return _members(docs, probe_bits, verify_bits, hot_rows).select("doc_id", F.col("kept.doc_id").alias("kept_doc_id"))
 
 
-def keep_one(docs: DataFrame, probe_bits: int = PROBE_BITS, verify_bits: int = VERIFY_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, probe_bits: int = PROBE_BITS, verify_bits: int = VERIFY_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with one document of each group; columns stay as they are."""
-    gone = near_groups(docs, probe_bits, verify_bits).where("doc_id <> kept_doc_id").select("doc_id")
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = _members(docs, probe_bits, verify_bits, hot_rows).where("doc_id <> kept.doc_id or txt <> kept.txt").select(F.col("doc_id").alias("_gone_id"), F.col("txt").alias("_gone_txt"))
+    kept = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("bigint") == F.col("_gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_txt")), "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         mark = "_row_of_document"

@@ -23,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import connected_components, cut
+from sparkloom.runtime import cut
+
+from .components import connected_components
 
 #: The blocklist that applies unless a caller brings one.
 DEFAULT_RULES = (

@@ -9,7 +9,7 @@ import regex
 
 import corpus_pipeline
 from sparkloom.llm import secrets, simhash, toxicity, vocab
-from tests.llm.test_llm_operators import near_brute, prose
+from tests.llm.test_llm_operators import near_brute, prints_of, prose
 
 SECRET = "kX9fQ2mZ7vB4nT1pL8sR3wY6"
 
@@ -33,7 +33,7 @@ def brute(spark, docs, item):
     match = toxicity.LexiconAutomaton((toxicity.SEEDS, (), ())).match
     toxic = lambda t: bool(t) and (toxicity.judge(t, match, {}, toxicity.WINDOW, toxicity.QUOTED) or (0,))[0] >= toxicity.THRESHOLD
     docs = [r for r in docs if not toxic(r[1])]
-    prints = {r[0]: tuple(x & (2**64 - 1) for x in r[1:]) for r in simhash.fingerprints(spark.createDataFrame([r[:2] for r in docs], "doc_id bigint, text string")).collect()}
+    prints = prints_of(spark.createDataFrame([r[:2] for r in docs], "doc_id bigint, text string"))
     gone = {a for a, b in near_brute(prints, simhash.PROBE_BITS, simhash.VERIFY_BITS) if a != b}
     docs = [r for r in docs if r[0] not in gone]
     word = lambda t: regex.findall(r"[a-z0-9]+", (t or "").lower())
