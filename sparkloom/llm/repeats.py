@@ -4,7 +4,9 @@ Wanted are all maximal repeats of at least `min_words` words: passages that
 cannot be extended to the left or right without losing an occurrence, each with
 all its occurrences, in one document or many.
 
-1. Equal texts are collapsed by digest; their documents are put back at the end.
+1. Equal texts are collapsed by digest: the least doc_id stands for its class in
+   all that follows, and the class is reported as a repeat itself, from end to end,
+   with all its documents.
 2. Anchors: of every window of W = min_words - GRAM + 1 successive word GRAM-grams
    the least hash is selected, so every repeat long enough holds an anchor at the same place in
    each occurrence. Anchors are aggregated by hash, on the map side first; those that occur once are gone. So are, as starting
@@ -25,7 +27,8 @@ greatest suffix share, all share), its children by a hash of the next word, and
 so on down until a subtree is small enough for a task; within each such node the
 left contexts are split in the same way. Each round is checkpointed.
 
-Nothing is capped, and no document is compared with another outside an anchor
+Nothing is capped: a repeat of more than `piece` occurrences is reported in several
+rows, so no row and no task holds an unbounded list. No document is compared with another outside an anchor
 group. Hashes select and route; comparison is of the words themselves.
 
 Defined cases: words stand between white space, whose kind and amount don't
@@ -53,11 +56,13 @@ from .arrowtext import SLICE_BYTES, VERBATIM, gram_hashes, mix, range_hash, slic
 
 MIN_WORDS = 40
 GRAM = 12
-#: Places of an anchor that one task takes at once; groups of more are split.
-HOT_ROWS = 1 << 14
+#: Places of an anchor that one task takes at once (some 64 MB of contexts); groups of more are split.
+HOT_ROWS = 1 << 16
+#: Occurrences in a row of the result.
+PIECE = 1000
 _ANCHORS = "g bigint, cid bigint, pos int, left bigint"
-_CONTEXTS = "node bigint, cid bigint, pos int, left binary, right binary, reign int"
-_SPOTS = "least_cid bigint, least_start int, n_words int, cid bigint, start int"
+_CONTEXTS = "node bigint, cid bigint, pos int, left binary, right binary, reign int, doc_id bigint"
+_FOUND = "least_cid bigint, least_start int, n_words int, n_occurrences bigint, part int, doc_ids array<bigint>, starts array<int>"
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -72,8 +77,8 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
 def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, with_reigns: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, hashes, reigns) of the selected grams of all texts; text i has words first[i]:first[i + 1].
 
-    A reign is l * window + r for a gram that no other is below within l grams to
-    the left and r to the right, both less than the window.
+    A reign is l * window + r for a gram that is below all within l grams to the
+    left, and that none is below within r to the right, both less than the window.
     """
     g = gram_hashes(h, gram)
     none = np.zeros(0, np.int64), g[:0], np.zeros(0, np.int64)
@@ -100,7 +105,8 @@ def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, wit
         n, live = np.zeros(len(at), np.int64), np.arange(len(at))
         for k in range(1, window):
             other = at[live] + way * k
-            live = live[(other < 0) | (other >= len(g)) | (g[np.clip(other, 0, len(g) - 1)] >= g[at[live]])]
+            there = g[np.clip(other, 0, len(g) - 1)]
+            live = live[(other < 0) | (other >= len(g)) | (there > g[at[live]]) | ((there == g[at[live]]) & (way > 0))]  # of equals the first reigns
             n[live] = k
         reach.append(n)
     return at, g[at], reach[0] * window + reach[1]
@@ -219,24 +225,27 @@ def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int
             yield left, r, [a + x for x in who]
 
 
-def _spot_batches(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """_SPOTS of repeats (words, places), in batches."""
+def _found_batches(found: Iterator[tuple[int, np.ndarray]], piece: int) -> Iterator[pa.RecordBatch]:
+    """_FOUND of repeats (words, places: cid, start, doc_id), in batches."""
+    rows, cells, held = [], [], 0
 
     def flush() -> pa.RecordBatch:
-        n = np.fromiter(map(len, cells), np.int64, len(cells))
         flat = np.concatenate(cells)
-        least = np.repeat(np.array([x[0] for x in cells]), n, axis=0)
-        columns = least[:, 0], least[:, 1].astype(np.int32), np.repeat(np.array(sizes, np.int32), n), flat[:, 0], flat[:, 1].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["least_cid", "least_start", "n_words", "cid", "start"])
+        offs = pa.array(np.cumsum([0, *map(len, cells)]).astype(np.int32))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        lists = pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(flat[:, 2]))), pa.ListArray.from_arrays(offs, pa.array(flat[:, 1].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *lists], [x.split()[0] for x in _FOUND.split(", ")])
 
-    sizes, cells, held = [], [], 0
     for size, places in found:
-        sizes.append(size)
-        cells.append(places[np.lexsort((places[:, 1], places[:, 0]))])
-        held += len(places)
-        if held > 50_000:
-            yield flush()
-            sizes, cells, held = [], [], 0
+        least = places[np.lexsort((places[:, 1], places[:, 0]))[0]].tolist()
+        places = places[np.lexsort((places[:, 1], places[:, 2]))]
+        for part, at in enumerate(range(0, len(places), piece)):
+            rows.append((*least[:2], size, len(places), part))
+            cells.append(places[at : at + piece])
+            held += len(cells[-1])
+            if held > 50_000:
+                yield flush()
+                rows, cells, held = [], [], 0
     if held:
         yield flush()
 
@@ -247,44 +256,44 @@ def _reports(left: int, reign: int, window: int) -> bool:
     return left <= before and window - 1 - left <= after
 
 
-def trees(suffixes: DataFrame, window: int, min_words: int) -> DataFrame:
-    """_SPOTS of suffixes(_CONTEXTS), each node's in one task."""
+def trees(suffixes: DataFrame, window: int, min_words: int, piece: int) -> DataFrame:
+    """_FOUND of suffixes(_CONTEXTS), each node's in one task."""
 
     def repeats_of(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-        places = np.array([x[:2] for x in group], np.int64)
+        places = np.array([(x[0], x[1], x[5]) for x in group], np.int64)
         for left, r, who in maximal([x[2] for x in group], [x[3] for x in group], window, min_words):
             if _reports(left, group[who[0]][4], window):
-                yield left + r, places[who] - [0, left]
+                yield left + r, places[who] - [0, left, 0]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         now, group = None, []
         for part in (part for batch in batches for part in slices(batch, "right")):
-            for node, cid, pos, left, right, reign in zip(*(part.column(i).to_pylist() for i in range(6))):
+            for node, cid, pos, *rest in zip(*(part.column(i).to_pylist() for i in range(7))):
                 if node != now:
                     if len(group) > 1:
                         yield from repeats_of(group)
                     now, group = node, []
                 if not group or group[-1][:2] != (cid, pos):  # else a row of the table that came twice
-                    group.append((cid, pos, left, right, reign))
+                    group.append((cid, pos, *rest))
         if len(group) > 1:
             yield from repeats_of(group)
 
-    return suffixes.repartition("node").sortWithinPartitions("node", "right", "cid", "pos").mapInArrow(lambda batches: _spot_batches(groups(batches)), _SPOTS)
+    return suffixes.repartition("node").sortWithinPartitions("node", "right", "cid", "pos").mapInArrow(lambda batches: _found_batches(groups(batches), piece), _FOUND)
 
 
-def left_trees(rows: DataFrame, window: int, min_words: int) -> DataFrame:
-    """_SPOTS of rows(node, r, cid, pos, left, reign, child), each node's in one task."""
+def left_trees(rows: DataFrame, window: int, min_words: int, piece: int) -> DataFrame:
+    """_FOUND of rows(node, r, cid, pos, left, reign, child, doc_id), each node's in one task."""
 
     def repeats_of(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-        places = np.array([x[1:3] for x in group], np.int64)
+        places = np.array([(x[1], x[2], x[6]) for x in group], np.int64)
         for left, who in maximal_at(group[0][0], [x[3] for x in group], [x[5] for x in group], window, min_words):
             if _reports(left, group[who[0]][4], window):
-                yield left + group[0][0], places[who] - [0, left]
+                yield left + group[0][0], places[who] - [0, left, 0]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         now, group = None, []
         for batch in batches:
-            for node, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for node, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if node != now:
                     if len(group) > 1:
                         yield from repeats_of(group)
@@ -293,8 +302,8 @@ def left_trees(rows: DataFrame, window: int, min_words: int) -> DataFrame:
         if len(group) > 1:
             yield from repeats_of(group)
 
-    rows = rows.select("node", "r", "cid", "pos", "left", "reign", "child").distinct().repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(lambda batches: _spot_batches(groups(batches)), _SPOTS)
+    rows = rows.select("node", "r", "cid", "pos", "left", "reign", "child", "doc_id").repartition("node").sortWithinPartitions("node")
+    return rows.mapInArrow(lambda batches: _found_batches(groups(batches), piece), _FOUND)
 
 
 def _shared_words(nodes: DataFrame, name: str) -> DataFrame:
@@ -321,8 +330,8 @@ def _with_next(rows: DataFrame, side: str, depth: str, name: str) -> DataFrame:
     return rows.mapInArrow(add, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, {name} bigint")
 
 
-def split_hot(rows: DataFrame, window: int, min_words: int, hot_rows: int) -> DataFrame:
-    """_SPOTS of rows(_CONTEXTS) whose nodes are each too large for a task."""
+def split_hot(rows: DataFrame, window: int, min_words: int, hot_rows: int, piece: int) -> DataFrame:
+    """_FOUND of rows(_CONTEXTS) whose nodes are each too large for a task."""
     out = []
     down = lambda x, y: F.xxhash64(x, y)
 
@@ -335,35 +344,37 @@ def split_hot(rows: DataFrame, window: int, min_words: int, hot_rows: int) -> Da
     def any_row(df: DataFrame) -> bool:
         return bool(df.limit(1).count())
 
-    hot = rows
+    hot = rows.dropDuplicates(["node", "cid", "pos"])  # a row of the table that came twice
     while True:
         ends = hot.groupBy("node").agg(F.min("right").alias("lo"), F.max("right").alias("hi"))
         hot = cut(_with_next(hot.join(_shared_words(ends, "r"), "node"), "right", "r", "child"))
         wide = hot.where(F.col("r") + window - 1 >= min_words).drop("right")
         while any_row(wide):
-            ends = wide.groupBy("node").agg(F.min("left").alias("lo"), F.max("left").alias("hi"), F.min("child").alias("c0"), F.max("child").alias("c1"), F.min(F.struct("cid", "pos")).alias("least"))
+            ends = wide.groupBy("node").agg(F.min("left").alias("lo"), F.max("left").alias("hi"), F.min("child").alias("c0"), F.max("child").alias("c1"), F.min(F.struct("cid", "pos")).alias("least"), F.count("*").alias("n"))
             ends = cut(ends)
-            wide = cut(_with_next(wide.join(ends.select("node", "c0", "c1", "least"), "node").join(_shared_words(ends, "l"), "node"), "left", "l", "before"))
+            wide = cut(_with_next(wide.join(ends.select("node", "c0", "c1", "least", "n"), "node").join(_shared_words(ends, "l"), "node"), "left", "l", "before"))
             reports = (F.col("l") <= F.floor(F.col("reign") / window)) & (window - 1 - F.col("l") <= F.col("reign") % window)
             out.append(
                 wide.where((F.col("l") < window) & (F.col("l") + F.col("r") >= min_words) & (F.col("c0") != F.col("c1")) & reports)
-                .selectExpr("least.cid least_cid", "least.pos - l least_start", "l + r n_words", "cid", "pos - l start")
-                .distinct()
+                .selectExpr("least.cid least_cid", "least.pos - l least_start", "l + r n_words", "n n_occurrences", f"cast(pmod(xxhash64(cid, pos), ceil(n / {piece})) as int) part", "struct(doc_id, pos - l as start) o")
+                .groupBy("least_cid", "least_start", "n_words", "n_occurrences", "part")
+                .agg(F.array_sort(F.collect_list("o")).alias("o"))  # about `piece` of them
+                .select("least_cid", "least_start", "n_words", "n_occurrences", "part", F.col("o.doc_id").alias("doc_ids"), F.col("o.start").alias("starts"))
             )
-            deeper = wide.where(F.col("l") + 1 < window).withColumn("node", down("node", "before")).drop("c0", "c1", "least", "l", "before")
+            deeper = wide.where(F.col("l") + 1 < window).withColumn("node", down("node", "before")).drop("c0", "c1", "least", "n", "l", "before")
             small, wide, more = sized(deeper)
             if not more:
                 break
-            out.append(left_trees(small, window, min_words))
+            out.append(left_trees(small, window, min_words, piece))
         small, hot, more = sized(hot.withColumn("node", down("node", "child")).drop("child", "r"))
         if more:
-            out.append(trees(small.select(*rows.columns), window, min_words))
+            out.append(trees(small.select(*rows.columns), window, min_words, piece))
         if not more or not any_row(hot):
             return reduce(DataFrame.union, out)
 
 
-def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(repeat_id, n_words, doc_id, start): a row for each occurrence of each maximal repeat; start is the place of its first word."""
+def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot_rows: int = HOT_ROWS, piece: int = PIECE) -> DataFrame:
+    """(repeat_id, n_words, n_occurrences, part, doc_ids, starts): starts are places of first words, beside their documents."""
     window = min_words - gram + 1
     src = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("cid"), "text")
     members = src.select("cid", "doc_id", F.regexp_count("text", F.lit(r"[^ \t\n\x0b\f\r]+")).cast("int").alias("n_words")).distinct()
@@ -382,7 +393,7 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
         """_CONTEXTS of the anchors of this kind."""
 
         def context_batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _CONTEXTS.split(", ")])
 
         def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +403,7 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
                     at, g, reigns = select_anchors(found.first, found.hashes(), gram, window)
                     bounds = np.searchsorted(at, found.first)
                     rows, size = [], 0
-                    for i, (cid, text, marks) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+                    for i, (cid, text, marks, doc) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)))):
                         w = _text_words(text)
                         known = {m // 4: m % 4 for m in marks}
                         a, b = bounds[i], bounds[i + 1]
@@ -404,7 +415,7 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
                                 elif follow not in known:
                                     reach = min(len(w), follow + window + gram - 1)
                                 if known[pos] == kind:
-                                    rows.append((gram_hash, cid, pos, b"\0".join(w[max(0, pos - window) : pos][::-1]), b"\0".join(w[pos:reach]), reign))
+                                    rows.append((gram_hash, cid, pos, b"\0".join(w[max(0, pos - window) : pos][::-1]), b"\0".join(w[pos:reach]), reign, doc))
                                     size += len(rows[-1][3]) + len(rows[-1][4])
                                     if size > SLICE_BYTES:
                                         yield context_batch(rows)
@@ -414,15 +425,19 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
                         yield context_batch(rows)
 
         holders = by_text.where(F.exists("marks", lambda m: m % 4 == kind)).join(owners, "cid")
-        return src.join(holders.hint("shuffle_hash"), ["doc_id", "cid"]).select("cid", "text", "marks").mapInArrow(contexts, _CONTEXTS)
+        return src.join(holders.hint("shuffle_hash"), ["doc_id", "cid"]).select("cid", "text", "marks", "doc_id").mapInArrow(contexts, _CONTEXTS)
 
-    spots = trees(suffixes(1), window, min_words)
+    found = trees(suffixes(1), window, min_words, piece)
     if shared.where("kind = 3").limit(1).count():
-        spots = spots.union(split_hot(cut(suffixes(3)), window, min_words, hot_rows))
-    spots = spots.select(F.xxhash64("least_cid", "least_start", "n_words").alias("own"), F.lit(None).cast("bigint").alias("whole"), "cid", "start", "n_words")
-    # a text with copies is a repeat itself, from end to end
-    whole = members.groupBy("cid").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words")).where((F.col("n") > 1) & (F.col("n_words") >= min_words))
-    whole = whole.select(F.lit(None).cast("bigint").alias("own"), F.xxhash64("cid", F.lit(0), "n_words").alias("whole"), "cid", F.lit(0).alias("start"), "n_words")
-    # the same repeat may be found from several of its anchors, and a whole text among them
-    once = spots.union(whole).groupBy("cid", "start", "n_words").agg(F.coalesce(F.max("own"), F.max("whole")).alias("repeat_id"))
-    return once.join(members.select("cid", "doc_id"), "cid").select("repeat_id", "n_words", "doc_id", "start")
+        found = found.union(split_hot(cut(suffixes(3)), window, min_words, hot_rows, piece))
+    # a class of equal texts is a repeat itself, from end to end
+    sizes = cut(members.groupBy("cid").agg(F.count("*").alias("n_occurrences"), F.max("n_words").alias("n_words")).where((F.col("n_occurrences") > 1) & (F.col("n_words") >= min_words)))
+    classes = (
+        members.select("cid", "doc_id")
+        .join(sizes, "cid")
+        .withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id), ceil(n_occurrences / {piece})) as int)"))
+        .groupBy("cid", "n_words", "n_occurrences", "part")
+        .agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))  # about `piece` of them
+        .select(F.xxhash64("cid").alias("repeat_id"), "n_words", "n_occurrences", "part", "doc_ids", F.expr("transform(doc_ids, d -> 0)").alias("starts"))
+    )
+    return found.select(F.xxhash64("least_cid", "least_start", "n_words").alias("repeat_id"), "n_words", "n_occurrences", "part", "doc_ids", "starts").union(classes)

@@ -345,9 +345,14 @@ def brute_repeats(texts: dict[int, str], least: int) -> set:
 
 
 def grouped(df) -> set:
-    out = {}
+    """{(words, occurrences)}; each repeat comes once, in pieces."""
+    out, parts, said = {}, set(), {}
     for r in df.collect():
-        out.setdefault((r["repeat_id"], r["n_words"]), []).append((r["doc_id"], r["start"]))
+        assert (r["repeat_id"], r["part"]) not in parts
+        parts.add((r["repeat_id"], r["part"]))
+        said[r["repeat_id"]] = r["n_occurrences"]
+        out.setdefault((r["repeat_id"], r["n_words"]), []).extend(zip(r["doc_ids"], r["starts"]))
+    assert all(len(occ) == said[i] for (i, _), occ in out.items())
     return {(n, tuple(sorted(occ))) for (_, n), occ in out.items()}
 
 
@@ -367,10 +372,14 @@ def test_maximal_repeats_are_all_of_them(spark):
     texts[54] = prose(rng, 30)
     texts[55] = texts[54]
     df = spark.createDataFrame(list(texts.items()), DOC).repartition(3)
-    want = brute_repeats(texts, 10)
-    for hot_rows in (repeats.HOT_ROWS, 6, 2):  # an anchor of more places than that is split among tasks
-        got = grouped(repeats.maximal_repeats(df, min_words=10, gram=4, hot_rows=hot_rows))
-        assert not got - want and not want - got, (hot_rows, sorted(got - want), sorted(want - got))
+    classes = {}
+    for d, text in texts.items():
+        classes.setdefault(text, []).append(d)
+    want = brute_repeats({ds[0]: text for text, ds in classes.items()}, 10)
+    want |= {(len(text.split()), tuple((d, 0) for d in ds)) for text, ds in classes.items() if len(ds) > 1 and len(text.split()) >= 10}
+    for hot_rows, piece in ((repeats.HOT_ROWS, repeats.PIECE), (6, 3)):  # an anchor of more places than that is split among tasks
+        got = grouped(repeats.maximal_repeats(df, min_words=10, gram=4, hot_rows=hot_rows, piece=piece))
+        assert got == want, (hot_rows, sorted(got - want), sorted(want - got))
 
 
 def test_one_passage_in_many_documents(spark):
