@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ VERBATIM = ~_SPACE
 PLAIN = np.zeros(256, bool)
 PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
 PLAIN[128:] = True
+#: Words of letters, marks and digits as Unicode has them, so that typographic signs separate too.
+UNICODE = None
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -103,10 +106,35 @@ class Words:
         return range_hash(_BYTE[self.data], self.starts, self.ends)
 
 
-def words(col: pa.Array, kind: np.ndarray) -> Words:
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """Which code points are letters, marks or numbers."""
+    import unicodedata
+
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), bool, 0x110000)
+
+
+def _inside_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters, marks or numbers of valid UTF-8."""
+    inside = PLAIN[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        pad = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        a, b, c, d = pad[lead], pad[lead + 1] & 63, pad[lead + 2] & 63, pad[lead + 3] & 63
+        size = 2 + (a >= 0xE0) + (a >= 0xF0)
+        cp = np.select([size == 2, size == 3], [(a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
+        ok = _in_words()[np.minimum(cp, 0x10FFFF)]
+        for k in range(4):
+            own = size > k
+            at = lead[own] + k
+            inside[at[at < len(data)]] = ok[own][at < len(data)]
+    return inside
+
+
+def words(col: pa.Array, kind: np.ndarray | None) -> Words:
     b = text_bytes(col)
     n = len(b.data)
-    inside = kind[b.data]
+    inside = _inside_words(b.data) if kind is None else kind[b.data]
     heads = b.offs[:-1][b.offs[:-1] < b.offs[1:]]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]

@@ -9,8 +9,8 @@ the longest verbatim match. A document with a match is affected and removed. An
 item shorter than `min_words` counts when it occurs whole, if it has at least
 `least_words`.
 
-Words are runs of letters and digits, compared in lower case, so punctuation and
-white space don't hide a match. Training documents are read once and never
+Words are runs of letters, marks and digits as Unicode has them, compared in lower
+case, so punctuation, typographic signs and white space don't hide a match. Training documents are read once and never
 shuffled. The benchmark goes to the executors in blocks of at most
 `block_chars`, as many passes as blocks; its size is measured first.
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import PLAIN, slices, words
+from .arrowtext import UNICODE, slices, words
 
 MIN_WORDS = 8
 LEAST_WORDS = 5
@@ -100,39 +100,45 @@ class SuffixArray:
         return bound(False), bound(True)
 
 
-def longest_matches(w_first: np.ndarray, h: np.ndarray, items: list[np.ndarray], min_words: int, least_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, words, word of text, word of item) over one shard; the longest of each text and item."""
+def longest_matches(w_first: np.ndarray, h: np.ndarray, item_hashes: np.ndarray, item_first: np.ndarray, min_words: int, least_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, words, word of text, word of item) over one shard; the longest of each text and item.
+
+    Item i has the words item_hashes[item_first[i]:item_first[i + 1]].
+    """
     n_docs = len(w_first) - 1
     known, inverse = np.unique(h, return_inverse=True)
+    if not len(known) or not len(item_hashes):
+        return []
+    at = np.minimum(np.searchsorted(known, item_hashes), len(known) - 1)
+    coded = np.where(known[at] == item_hashes, at + 1, -1)
+    size = np.diff(item_first)
+    item = np.repeat(np.arange(len(size)), size)
+    need = np.where(size >= min_words, min_words, np.where(size >= least_words, size, 0))[item]
+    place = np.arange(len(coded)) - item_first[item]
+    strange = np.concatenate([[0], np.cumsum(coded < 0)])  # words that the shard doesn't have
+    starts = np.flatnonzero((need > 0) & (place + need <= size[item]))
+    starts = starts[strange[starts + need[starts]] == strange[starts]]
+    if not len(starts):
+        return []
     doc = np.repeat(np.arange(n_docs), np.diff(w_first))
     ids = np.zeros(len(h) + n_docs, np.int64)
     ids[np.arange(len(h)) + doc] = inverse + 1
     begins = w_first[:-1] + np.arange(n_docs)
     sa = SuffixArray(ids)
-    coded, origin = [], []
-    for i, item in enumerate(items):
-        at = np.searchsorted(known, item)
-        ok = (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == item) if len(known) else np.zeros(len(item), bool)
-        coded.append(np.where(ok, at + 1, -1))
-        need = min_words if len(item) >= min_words else len(item) if len(item) >= least_words else 0
-        for j in range(len(item) - need + 1 if need else 0):
-            if (coded[i][j : j + need] > 0).all():
-                origin.append((need, i, j))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for need in {x[0] for x in origin}:
-        own = [x for x in origin if x[0] == need]
-        low, high = sa.interval(np.array([coded[i][j : j + need] for _, i, j in own]))
-        for (_, i, j), a, b in zip(own, low.tolist(), high.tolist()):
-            if a == b:
-                continue
+    for k in np.unique(need[starts]).tolist():
+        own = starts[need[starts] == k]
+        low, high = sa.interval(coded[own[:, None] + np.arange(k)])
+        for s, a, b in zip(own[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
+            i, j = int(item[s]), int(place[s])
             at = sa.order[a:b]
-            rest = coded[i][j:]
-            n = np.full(b - a, need)
+            rest = coded[s : item_first[i + 1]]
+            n = np.full(b - a, k)
             live = np.arange(b - a)
-            for k in range(need, len(rest)):
-                live = live[ids[np.minimum(at[live] + k, len(ids) - 1)] == rest[k]]
-                live = live[at[live] + k < len(ids)]
-                if rest[k] < 0 or not len(live):
+            for x in range(k, len(rest)):
+                live = live[ids[np.minimum(at[live] + x, len(ids) - 1)] == rest[x]]
+                live = live[at[live] + x < len(ids)]
+                if rest[x] < 0 or not len(live):
                     break
                 n[live] += 1
             texts = np.searchsorted(begins, at, "right") - 1
@@ -143,9 +149,10 @@ def longest_matches(w_first: np.ndarray, h: np.ndarray, items: list[np.ndarray],
     return [(t, i, -m, p, j) for (t, i), (m, p, j) in sorted(best.items())]
 
 
-def _item_hashes(texts: list[str]) -> list[np.ndarray]:
-    w = words(pc.utf8_lower(pa.array(texts, pa.string())), PLAIN)
-    return np.split(w.hashes(), w.first[1:-1]) if len(texts) else []
+def _item_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all items, and where each item's begin."""
+    w = words(pc.utf8_lower(pa.array(texts, pa.string())), UNICODE)
+    return w.hashes(), w.first
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int | None, str]]]:
@@ -173,9 +180,9 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int, shard_bytes: int) -> Ite
         yield pa.Table.from_batches(kept)
 
 
-def _matches(text: pa.ChunkedArray, items: list[np.ndarray], min_words: int, least_words: int) -> list[tuple[int, int, int, int, int]]:
-    w = words(pc.utf8_lower(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text), PLAIN)
-    return longest_matches(w.first, w.hashes(), items, min_words, least_words)
+def _matches(text: pa.ChunkedArray, items: tuple[np.ndarray, np.ndarray], min_words: int, least_words: int) -> list[tuple[int, int, int, int, int]]:
+    w = words(pc.utf8_lower(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text), UNICODE)
+    return longest_matches(w.first, w.hashes(), *items, min_words, least_words)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS, shard_bytes: int = SHARD_BYTES, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -23,6 +23,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,14 +37,10 @@ MAX_RATIO = 2.2
 PLACEHOLDER = "[SECRET]"
 FINDINGS = "doc_id bigint, char_start int, n_chars int, n_tokens int, chars_per_token double, context string, value_sha256 string"
 
-_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
-_CREDENTIAL = re.compile(
-    r"(?i)(token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth(?:orization)?|bearer|credential)s?"
-    r"[\"']?\s*(?:=>|:=|[=:])?\s*[\"'`]?$"
-)
+_CREDENTIAL = re.compile(r"(?i)(token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth(?:orization)?|bearer|credential)s?$")
 _PIECE = re.compile(r"[A-Za-z0-9]+")
 _KNOWN_PIECE = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
 #: a stretch ends where its score has fallen by so much: a word of eight letters, or two of five
@@ -54,10 +51,26 @@ def _turns(s: str) -> int:
     return sum(a.islower() != b.islower() for a, b in zip(s, s[1:]))
 
 
+@lru_cache(maxsize=8)
+def _run(min_chars: int) -> re.Pattern:
+    return re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % max(min_chars, 1))
+
+
 def _lead(text: str, at: int, joined: bool = False) -> re.Match | None:
-    """The credential word before `at`; of a part of a run, separators may stand between."""
-    before = text[max(0, at - 40) : at]
-    return _CREDENTIAL.search(before.rstrip("/_-+") if joined else before)
+    """The credential word before `at`: a quotation mark, an operator and any amount of white space may stand between, and separators before a part of a run."""
+
+    def back(i: int, chars: str, most: int) -> int:
+        least = max(0, i - most)
+        while i > least and (text[i - 1] in chars if chars else text[i - 1].isspace()):
+            i -= 1
+        return i
+
+    if joined:
+        at = back(at, "/_-+", at)
+    at = back(back(at, "\"'`", 1), "", at)
+    at -= 2 if text[max(0, at - 2) : at] in ("=>", ":=") else text[at - 1 : at] in ("=", ":")
+    at = back(back(at, "", at), "\"'", 1)
+    return _CREDENTIAL.search(text, max(0, at - 24), at)  # no such word is longer
 
 
 def random_parts(text: str, start: int, end: int, enc, min_chars: int, max_ratio: float) -> list[tuple[int, int]]:
@@ -115,7 +128,7 @@ def random_parts(text: str, start: int, end: int, enc, min_chars: int, max_ratio
 def find(text: str, enc, min_chars: int, max_ratio: float, known: frozenset[str]) -> list[tuple]:
     """(start, end, tokens, context, sha256) of each secret in one text."""
     out = []
-    for m in _RUN.finditer(text):
+    for m in _run(min_chars).finditer(text):
         s = m.group()
         if len(s) < min_chars:
             continue
@@ -156,7 +169,7 @@ def scan_secrets(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocab)
         for batch in batches:
-            batch = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column(1), _RUN.pattern), False))
+            batch = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column(1), _run(min_chars).pattern), False))
             rows = []
             for part in slices(batch):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -189,7 +202,7 @@ def redact_secrets(
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocab)
         for batch in batches:
-            mask = pc.fill_null(pc.match_substring_regex(batch.column(at), _RUN.pattern), False)
+            mask = pc.fill_null(pc.match_substring_regex(batch.column(at), _run(min_chars).pattern), False)
             texts = batch.column(at)
             hit, new = [], []
             for i in pc.indices_nonzero(mask).to_pylist():

@@ -1,17 +1,20 @@
 """Operator 2. Toxicity by a fuzzy lexicon and context windows.
 
-The lexicon is a trie of words (with an edit allowance by length) and of stems
+The lexicon is a trie of words (no edit below five letters, one up to eight, two
+from nine on; a digit counts as the letter it is written for, as in "m0ron") and of stems
 (any continuation counts). Levenshtein automata of all words are intersected
 with the trie and determinised lazily, so a word is judged by walking one
 transition per character, and most words die within a few. Around every hit a
 window of tokens is summed: an exact hit counts 1, a misspelt one less, and one
 that stands in quotation marks or after a reporting word counts `quoted` of
-that, so quoting abuse alone stays below the threshold.
+that, so quoting abuse alone stays below the threshold. A quotation is whatever
+stands between a pair of marks in one line, however long.
 
 Beside the given words the lexicon is learned from at most `max_labelled`
 labelled documents (the least by hash of doc_id, so the choice is the same at
 any partitioning): words and stems that occur in toxic documents of many
-different word-set signatures and in almost no clean one. A signature is made of
+different word-set signatures and in almost no clean one. Stems have four letters to
+`max_stem`. A signature is made of
 the four least word hashes of a document; near copies share it and count once. Stems that
 are `min_lift` times as frequent in toxic documents as in clean ones, but do
 occur in clean ones, are weak: a hit counts `WEAK`, and a form of the word that
@@ -35,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import cut
+
 from .arrowtext import slices
 
 SEEDS = ("loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid", "imbecile", "bastard", "scumbag", "retard")
@@ -47,10 +52,14 @@ MIN_SUPPORT = 8
 MAX_CLEAN = 0.02
 MIN_LIFT = 4.0
 WEAK = 0.5
+MAX_STEM = 8
 VERDICT = "doc_id bigint, toxicity double, n_hits int, n_quoted int, terms array<string>, toxic boolean"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTES = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]')
+_TOKEN = re.compile(r"\d*[^\W\d_][^\W_]*")  # letters, with digits among them
+_MARKS = re.compile(r'["“”„«»\n]')
+#: Letters that a digit is written for.
+_WRITTEN_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 #: words, stems, weak stems (may be left out)
 Lexicon = tuple[tuple[str, ...], ...]
 
@@ -65,7 +74,7 @@ class LexiconAutomaton:
         self.weak: dict[int, str] = {}
         self.allow: list[int] = [0]
         for term in lexicon[0]:
-            self._add(term, self.word, 0 if len(term) < 5 else 1)
+            self._add(term, self.word, self.allow_of(term))
         for term in lexicon[1]:
             self._add(term, self.stem, 0)
         for term in lexicon[2] if len(lexicon) > 2 else ():
@@ -75,7 +84,7 @@ class LexiconAutomaton:
         self.accept: list[tuple[str, float] | None] = []
         self.absorbing: list[bool] = []
         self.items: list[frozenset] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, False)})
 
     def _add(self, term: str, kind: dict[int, str], allow: int) -> None:
         node = 0
@@ -89,26 +98,27 @@ class LexiconAutomaton:
         self.allow[node] = max(self.allow[node], allow)
         kind[node] = term
 
-    def _state(self, items: set[tuple[int, int]]) -> int:
+    def _state(self, items: set[tuple[int, int, bool]]) -> int:
+        """The state of (node of the trie, edits so far, whether a digit stood for a letter)."""
         todo = list(items)
         while todo:  # a character of the lexicon left out
-            node, e = todo.pop()
+            node, e, digit = todo.pop()
             for child in self.children[node].values():
-                if e < self.allow[child] and (child, e + 1) not in items:
-                    items.add((child, e + 1))
-                    todo.append((child, e + 1))
+                if e < self.allow[child] and (child, e + 1, digit) not in items:
+                    items.add((child, e + 1, digit))
+                    todo.append((child, e + 1, digit))
         key = frozenset(items)
         if key in self.ids:
             return self.ids[key]
         best: tuple[str, float] | None = None
         absorbing = False
-        for node, e in key:
-            if e == 0 and (node in self.stem or node in self.weak):
+        for node, e, digit in key:
+            if e == 0 and not digit and (node in self.stem or node in self.weak):
                 best, absorbing = ((self.stem[node], 1.0) if node in self.stem else (self.weak[node], WEAK)), True
                 break
-            if node in self.word:
+            if node in self.word and e <= self.allow_of(self.word[node]):
                 term = self.word[node]
-                weight = 1.0 if e == 0 else 0.5 if len(term) >= 7 else 0.25
+                weight = (1.0, 0.5 if len(term) >= 7 else 0.25, 0.25)[e]
                 if best is None or (weight, term) > (best[1], best[0]):
                     best = (term, weight)
         self.ids[key] = len(self.items)
@@ -118,21 +128,38 @@ class LexiconAutomaton:
         self.absorbing.append(absorbing)
         return len(self.items) - 1
 
+    @staticmethod
+    def allow_of(term: str) -> int:
+        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+
     def _step(self, state: int, c: str) -> int:
         out = set()
-        for node, e in self.items[state]:
+        letters = _WRITTEN_FOR.get(c, "")
+        for node, e, digit in self.items[state]:
             for ch, child in self.children[node].items():
                 if ch == c:
-                    out.add((child, e))
+                    out.add((child, e, digit))
+                elif ch in letters:
+                    out.add((child, e, True))
                 elif e < self.allow[child]:
-                    out.add((child, e + 1))
+                    out.add((child, e + 1, digit))
             if e < self.allow[node]:
-                out.add((node, e + 1))
+                out.add((node, e + 1, digit))
         to = self._state(out) if out else -1
         self.moves[state][c] = to
         return to
 
-    def match(self, word: str) -> tuple[str, float] | None:
+    def match(self, token: str) -> tuple[str, float] | None:
+        """(term, weight) of the token as it stands, or of its letters between digits, whichever weighs more."""
+        found = self._walk(token)
+        if found is None or found[1] < 1:
+            for part in _WORD.findall(token) if not token.isalpha() else ():
+                other = self._walk(part)
+                if other and (found is None or other[1] > found[1]):
+                    found = other
+        return found
+
+    def _walk(self, word: str) -> tuple[str, float] | None:
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -144,10 +171,33 @@ class LexiconAutomaton:
         return self.accept[state]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between paired quotation marks of one line, in order and apart."""
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for m in _MARKS.finditer(text):
+        c, at = m.group(), m.start()
+        if c == "\n":
+            opened.clear()
+            continue
+        pair = next((o for o in {'"': '"', "”": "“„", "“": "„", "»": "«"}.get(c, "") if o in opened), None)
+        if pair:
+            spans.append((opened.pop(pair), at + 1))
+        elif c in '"“„«':
+            opened.setdefault(c, at)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def judge(text: str, match, memo: dict, window: int, quoted: float) -> tuple[float, int, int, list[str]] | None:
     """(highest window sum, hits, quoted hits, terms) of one text; None without a hit."""
     low = text.lower()
-    found = _WORD.findall(low)
+    found = _TOKEN.findall(low)
     hit = False
     for w in set(found):
         if w in memo:
@@ -157,11 +207,11 @@ def judge(text: str, match, memo: dict, window: int, quoted: float) -> tuple[flo
             hit = hit or m is not None
     if not hit:
         return None
-    spans = [m.span() for m in _QUOTES.finditer(low)]
+    spans = quotations(low)
     hits, terms, n_quoted = [], set(), 0
     guessed: set[str] = set()  # a misspelling or a weak hit that comes again is a word of the text, and counts once a window
     at = 0
-    for i, m in enumerate(_WORD.finditer(low)):
+    for i, m in enumerate(_TOKEN.finditer(low)):
         x = memo[m.group()]
         if x is None:
             continue
@@ -205,6 +255,7 @@ def learn_lexicon(
     min_support: int = MIN_SUPPORT,
     max_clean: float = MAX_CLEAN,
     min_lift: float = MIN_LIFT,
+    max_stem: int = MAX_STEM,
 ) -> Lexicon:
     """(words, stems, weak stems): the seeds and what the labelled documents teach."""
     if labels is None:
@@ -228,7 +279,7 @@ def learn_lexicon(
                     continue
                 sig = hash(tuple(nsmallest(4, (crc32(w.encode("utf-8", "replace")) for w in found))))
                 for w in found:
-                    for k in range(4, min(8, len(w)) + 1):
+                    for k in range(4, min(max_stem, len(w)) + 1):
                         key = w[:k], False, sig
                         rows[key] = max(toxic, rows.get(key, 0))
                     if len(w) >= 4:
@@ -238,7 +289,8 @@ def learn_lexicon(
                 term, whole, sig = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(whole), pa.array(sig, pa.int64()), pa.array(list(rows.values()), pa.int32())], ["term", "whole", "sig", "toxic"])
 
-    per_text = texts.join(ids, "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(terms, "term string, whole boolean, sig bigint, toxic int").groupBy("term", "whole", "sig").agg(F.max("toxic").alias("toxic"))
+    read = texts.join(ids, "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(terms, "term string, whole boolean, sig bigint, toxic int")
+    per_text = cut(read.groupBy("term", "whole", "sig").agg(F.max("toxic").alias("toxic")))  # it's read twice
     every = per_text.groupBy("sig").agg(F.max("toxic").alias("toxic")).agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
     clean, share = max(every["n"] - every["bad"], 1), every["bad"] / max(every["n"] - every["bad"], 1)
     counted = per_text.groupBy("term", "whole").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= min_support)
