@@ -36,6 +36,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .arrowtext import _BYTE, range_hash, slices
 from .pretokens import pretokens
@@ -187,6 +189,7 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
         if parts:
             yield from close()
 
+    nothing = to_arrow_schema(StructType.fromDDL(ENCODED))
     kind = np.uint16 if len(token_bytes(vocab)) <= 1 << 16 else np.uint32
 
     def words_to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +197,8 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
         bucket, memo = None, {}
         for batch in batches:
             for b, owner, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if owner < 0:
+                    continue
                 if b != bucket:  # all blocks' words of a bucket come together, so each distinct one is encoded once
                     bucket, memo = b, {}
                 sizes, raw = _part(data, [np.uint32, np.uint8])
@@ -215,7 +220,9 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
         answers = [_part(answers[i], [np.uint32, kind]) for i in order]
         flat = np.concatenate([np.zeros(0, kind), *(x[1] for x in answers)])
         in_order = np.concatenate([np.zeros(0, np.int64), *(x[0].astype(np.int64) for x in answers)])
-        rows = list(zip(own.column("owner").to_pylist(), own.column("data").to_pylist()))
+        rows = [x for x in zip(own.column("owner").to_pylist(), own.column("data").to_pylist()) if x[0] < 0]
+        if not rows:
+            return pa.Table.from_batches([], nothing)
         lengths = firsts = in_order
         for owner, data in rows:
             if owner == ORDER:
@@ -255,8 +262,9 @@ def encode(docs: DataFrame, vocab: str = DEFAULT_VOCAB, pattern: str = DEFAULT_P
     key = F.xxhash64("doc_id", "text")
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").sortWithinPartitions(key, "doc_id", F.length("text"))
     exploded = rows.mapInArrow(explode, _EXPLODED).repartition("block")
-    coded = exploded.where("owner >= 0").sortWithinPartitions("block").mapInArrow(words_to_ids, _EXPLODED)
-    return coded.groupBy("block").cogroup(exploded.where("owner < 0").groupBy("block")).applyInArrow(reassemble, ENCODED)
+    # a filter would go below the exchange and make two of it: both sides read it whole and leave the other's rows
+    coded = exploded.sortWithinPartitions("block").mapInArrow(words_to_ids, _EXPLODED)
+    return coded.groupBy("block").cogroup(exploded.groupBy("block")).applyInArrow(reassemble, ENCODED)
 
 
 def decode(encoded: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:

@@ -2,7 +2,8 @@
 
 URLs are reduced to a key (no scheme, www./m. host, default document, .html,
 closing slash, fragment or tracking parameters). Redirect (meta refresh) and
-canonical-link edges between keys are closed by distributed connected
+canonical-link edges (of all such tags of a page, attributes in any order, targets
+resolved against the page's url) between keys are closed by distributed connected
 components; a block on any alias then holds for all of them unless some alias
 is allowed, which wins.
 
@@ -14,7 +15,8 @@ own threshold.
 
 Defined cases: a null or empty url has key '' , no rule and no alias, and
 passes; null html has no edges; repeated pages are judged each time; ties cannot
-arise (allow beats block); a relative or malformed target is no edge; other
+arise (allow beats block); an empty target, one of another scheme than http and
+one on a page without a host are no edges; other
 columns stay behind; empty tables give empty results.
 """
 
@@ -37,10 +39,12 @@ DEFAULT_RULES = (
     ("allow", "prefix", "tiontion.example.com/en"),
 )
 RULES = "action string, kind string, value string"
-_TARGETS = (
-    r"""(?i)<link[^>]*rel=["']?canonical["']?[^>]*href=["']?(https?://[^"' >]+)""",
-    r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*url=["']?(https?://[^"' >]+)""",
-)
+#: Expressions that Spark and the SQL below share. An attribute's value is quoted in either way or bare.
+_TAG = r"(?i)<(?:link|meta)\s[^>]*>"
+_CANONICAL = r"(?i)^<link\s(?:.*\s)?rel\s*=\s*[\"']?(?:[^\"'>]*\s)?canonical[\s\"'/>]"
+_REFRESH = r"(?i)^<meta\s(?:.*\s)?http-equiv\s*=\s*[\"']?\s*refresh[\s\"'/>]"
+_HREF = r"(?is)\shref\s*=\s*(?:\"\s*([^\"]*)\"|'\s*([^']*)'|([^\s\"'>]+))"
+_CONTENT = r"(?is)[;\s\"'=]url\s*=\s*[\"']?\s*([^\s\"'>]+)"
 
 
 def rules_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
@@ -56,14 +60,41 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(x, r"(\.html?)?/*$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are followed."""
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, r"/?[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.aggregate(F.split(path, "/"), F.lit(""), step)).otherwise(F.concat(F.lit("/"), path))
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """The address that `target` means on the page `url`; null if it means none of http."""
+    t = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
+    scheme, host = F.regexp_extract(F.trim(url), r"(?i)^(https?:)//", 1), F.regexp_extract(F.trim(url), r"(?i)^https?://([^/?#]+)", 1)
+    page = F.regexp_extract(F.trim(url), r"(?i)^https?://[^/?#]+/?([^?#]*)", 1)
+    folder = F.regexp_replace(page, r"[^/]*$", "")
+    path, rest = F.regexp_extract(t, r"^([^?#]*)", 1), F.regexp_extract(t, r"^[^?#]*(.*)$", 1)
+    here = F.concat(scheme, F.lit("//"), host)
+    return (
+        F.when(t == "", None)
+        .when(t.rlike(r"(?i)^https?://[^/]"), t)
+        .when(t.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:") | (host == ""), None)
+        .when(t.startswith("//"), F.concat(scheme, t))
+        .when(t.startswith("/"), F.concat(here, _without_dots(F.substr(path, F.lit(2))), rest))
+        .when(t.startswith("?") | t.startswith("#"), F.concat(here, F.lit("/"), page, t))
+        .otherwise(F.concat(here, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def url_edges(pages: DataFrame) -> DataFrame:
     """(a, b): keys that a redirect or a canonical link makes one."""
-    targets = F.array(*[F.regexp_extract("html", p, 1) for p in _TARGETS])
+    tags = pages.where("html is not null and url is not null and (html ilike '%canonical%' or html ilike '%refresh%')").select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), 0)).alias("tag"))
+    tag = F.col("tag")
+    href = F.concat(*[F.regexp_extract(tag, _HREF, k) for k in (1, 2, 3)])
+    target = F.when(tag.rlike(_CANONICAL.replace("(?i)", "(?is)")), href).when(tag.rlike(_REFRESH.replace("(?i)", "(?is)")), F.regexp_extract(tag, _CONTENT, 1))
     return (
-        pages.where("html is not null and url is not null and (html ilike '%canonical%' or html ilike '%refresh%')")
-        .select(url_key(F.col("url")).alias("a"), F.explode(targets).alias("t"))
-        .where("t <> ''")
-        .select("a", url_key(F.col("t")).alias("b"))
+        tags.select("url", target.alias("t"))
+        .where("t is not null")
+        .select(url_key(F.col("url")).alias("a"), url_key(resolve(F.col("t"), F.col("url"))).alias("b"))
         .where("a <> '' and b <> '' and a <> b")
         .distinct()
     )
@@ -104,11 +135,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE raw AS (SELECT page_id, url, html, {key_url} AS url_key FROM pages),
-targets AS (
-  SELECT url_key AS a, unnest([regexp_extract(html, '<link[^>]*rel=["'']?canonical["'']?[^>]*href=["'']?(https?://[^"'' >]+)', 1, 'i'),
-                               regexp_extract(html, '<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=["'']?(https?://[^"'' >]+)', 1, 'i')]) AS t
-  FROM raw WHERE html IS NOT NULL AND url IS NOT NULL),
-edges AS (SELECT DISTINCT a, {key_t} AS b FROM targets WHERE t <> ''),
+tags AS (SELECT url, url_key AS a, unnest(regexp_extract_all(html, '{tag}')) AS tag FROM raw WHERE html IS NOT NULL AND url IS NOT NULL),
+heard AS (SELECT a, trim(url) AS url, trim(replace(CASE WHEN regexp_matches(tag, '{canonical}') THEN regexp_extract(tag, '{href}', 1) || regexp_extract(tag, '{href}', 2) || regexp_extract(tag, '{href}', 3)
+  WHEN regexp_matches(tag, '{refresh}') THEN regexp_extract(tag, '{content}', 1) END, '&amp;', '&')) AS t FROM tags),
+parts AS (SELECT a, t, regexp_extract(url, '(?i)^(https?:)//', 1) AS scheme, regexp_extract(url, '(?i)^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '(?i)^https?://[^/?#]+/?([^?#]*)', 1) AS page,
+  regexp_extract(t, '^([^?#]*)', 1) AS path, regexp_extract(t, '^[^?#]*(.*)$', 1) AS rest FROM heard WHERE t <> ''),
+targets AS (SELECT a, CASE WHEN regexp_matches(t, '(?i)^https?://[^/]') THEN t WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') OR host = '' THEN NULL
+  WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN scheme || '//' || host || {root} || rest
+  WHEN regexp_matches(t, '^[?#]') THEN scheme || '//' || host || '/' || page || t ELSE scheme || '//' || host || {relative} || rest END AS t FROM parts),
+edges AS (SELECT DISTINCT a, {key_t} AS b FROM targets WHERE t IS NOT NULL),
 twoway AS (SELECT a, b FROM edges WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM edges WHERE a <> '' AND b <> '' AND a <> b),
 reach(node, seen) AS (SELECT a, a FROM twoway UNION SELECT r.node, b.b FROM reach r JOIN twoway b ON b.a = r.seen),
 aliases AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
@@ -133,4 +168,9 @@ def oracle(rules=DEFAULT_RULES) -> str:
             x = f"regexp_replace({x}, '{pattern}', ''{g})"
         return x
 
-    return ORACLE.format(key_url=key("url"), key_t=key("t"), rules=", ".join(f"('{a}', '{k}', '{v}')" for a, k, v in rules))
+    def plain(path: str) -> str:
+        step = "CASE x WHEN '..' THEN regexp_replace(acc, '/?[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END"
+        return f"(CASE WHEN regexp_matches({path}, '(^|/)[.][.]?(/|$)') THEN list_reduce(list_prepend('', string_split({path}, '/')), lambda acc, x: {step}) ELSE '/' || {path} END)"
+
+    text = {k: v.replace("(?i)", "(?is)").replace("'", "''") for k, v in {"tag": _TAG, "canonical": _CANONICAL, "refresh": _REFRESH, "href": _HREF, "content": _CONTENT}.items()}
+    return ORACLE.format(key_url=key("url"), key_t=key("t"), root=plain("path[2:]"), relative=plain("(regexp_replace(page, '[^/]*$', '') || path)"), rules=", ".join(f"('{a}', '{k}', '{v}')" for a, k, v in rules), **text)

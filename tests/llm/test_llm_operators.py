@@ -278,8 +278,8 @@ def test_odd_vectors(spark):
 
 
 def page(i, url, link=None, refresh=None):
-    head = f'<link rel="canonical" href="{link}">' if link else ""
-    head += f'<meta http-equiv="refresh" content="0; url={refresh}">' if refresh else ""
+    head = f"<link href='{link}' rel=canonical />" if link and i % 2 else f'<link rel="canonical" href="{link}">' if link else ""
+    head += f"<META content='0; URL={refresh}' http-equiv=Refresh>" if refresh and i % 2 else f'<meta http-equiv="refresh" content="0; url={refresh}">' if refresh else ""
     return i, url, f"<html><head>{head}</head></html>"
 
 
@@ -305,6 +305,17 @@ def test_decisions_reach_aliases_and_allow_wins(spark):
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_all_tags_of_a_page_in_any_form(spark):
+    rows = [
+        (1, "https://x.example/a/b.html?q=1", "<LINK HREF='c.html' REL='canonical'><link rel=stylesheet href=/no><link rel='alternate canonical' href=//y.example/d>"),
+        (2, "https://x.example/a/b/", '<meta content="3;url=../up?p=1&amp;r=2" http-equiv="refresh"><link rel="canonical" href="?page=2"><meta name=refresh content="url=/no">'),
+        (3, "x.example/z", "<link rel=canonical href=rel>"),
+        (4, "https://x.example", '<link rel="canonical" href="mailto:a@b"><link rel="canonical" href=""><link\nrel="canonical"\nhref="/./new">'),
+    ]
+    got = set(map(tuple, urls.url_edges(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()))
+    assert got == {("x.example/a/b.html?q=1", "x.example/a/c"), ("x.example/a/b.html?q=1", "y.example/d"), ("x.example/a/b", "x.example/a/up?p=1&r=2"), ("x.example/a/b", "x.example/a/b/?page=2"), ("x.example", "x.example/new")}
+
+
 def test_url_sql_agrees(spark, tmp_path):
     import duckdb
 
@@ -314,6 +325,8 @@ def test_url_sql_agrees(spark, tmp_path):
     for i in range(150):
         u = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'x'])}/{rng.randrange(9)}{rng.choice(['', '/', '.html', '?utm_source=f', '#top', '?page=2&ref=x'])}"
         rows.append(page(i, u(), u() if rng.random() < 0.2 else None, u() if rng.random() < 0.2 else None))
+    for link in ("/de/1", "2.html", "../x", "./../en/3?page=2", "//bad.example/de/4", "?page=2&amp;x=1", "#top", "mailto:x", ""):
+        rows += [page(len(rows), f"https://a.example/en/{len(rows)}/q", link), page(len(rows) + 1, f"https://b.example/{len(rows)}.html?x=1", None, link)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     df.write.parquet(str(tmp_path / "pages.parquet"))
     got = sorted(map(tuple, urls.judge_urls(df, urls.rules_table(spark)).select("page_id", "url", "url_key", "site_group", "decision").collect()))
