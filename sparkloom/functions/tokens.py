@@ -58,7 +58,7 @@ def cut_plain(text: str, budget: int, is_code: bool = False) -> str:
         if (at := kept.rfind(mark)) > room * share:
             kept = kept[:at]
             break
-    return f"{kept}\n\n---\n[Content truncated - more available via zoom]"
+    return f"{kept}\n\n---\n[cut here; zoom shows more]"
 
 
 def cut_section(part: Part, budget: int, is_code: bool = False) -> Part | None:
@@ -71,7 +71,7 @@ def cut_section(part: Part, budget: int, is_code: bool = False) -> Part | None:
         if (at := body.rfind(mark)) > size * share:
             body = body[:at]
             break
-    return Part(part.header, body + "\n\n[... more available via zoom]", part.priority) if body.strip() else None
+    return Part(part.header, body + "\n\n[... zoom shows more]", part.priority) if body.strip() else None
 
 
 def truncate(text: str | None, budget: int, is_code: bool = False, by_priority: bool = True) -> str:
@@ -99,7 +99,7 @@ def truncate(text: str | None, budget: int, is_code: bool = False, by_priority:
     out = "\n\n".join(p.whole() for p in sorted(kept, key=lambda p: text.find(p.header)))
     missing = total - len(kept)
     if missing > 0 and count(out, is_code) < size:
-        out += f"\n\n---\n[{missing} more sections available via zoom]"
+        out += f"\n\n---\n[{missing} more sections; zoom shows them]"
     return out
 
 

@@ -137,3 +137,12 @@ def advice(contents: DataFrame, languages: list[str] | None = None) -> DataFrame
         ("models" in have and "Repository Pattern" not in found, "Data access could go through repositories."),
     ]
     return contents.sparkSession.createDataFrame([(t,) for yes, t in rules if yes], "recommendation string")
+
+
+def render(pack: dict) -> str:
+    """A report of frameworks, layers, patterns and recommendations for people."""
+    out = ["# Architecture", "", "## Frameworks", ""]
+    out += [f"- {f['name']} ({f['type']}), confidence {f['confidence']}, {f['n_files']} files, first `{f['first_file']}`" for f in pack["frameworks"]] or ["- none found"]
+    out += ["", "## Layers", "", *([f"- {x['layer']}: {x['n_files']} files" for x in pack["layers"]] or ["- none found"])]
+    out += ["", "## Patterns", "", *([f"- {p}" for p in pack["patterns"]] or ["- none found"])]
+    return "\n".join([*out, "", "## Recommendations", "", *([f"- {r}" for r in pack["recommendations"]] or ["- none"])])

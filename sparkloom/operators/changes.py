@@ -69,3 +69,24 @@ def analyze(changed: DataFrame, symbols: DataFrame, files: DataFrame, index: Dat
         "tests": related_tests(changed.select("path", F.col("name").alias("symbol")), files, contents),
         "queue": inspection_queue(changed, risk, radius),
     }
+
+
+def report(found: dict[str, DataFrame], changed_files: list[str], most: int = 20) -> dict:
+    """What analyze() found, in lists of at most `most` rows."""
+    rows = lambda df, *order: [r.asDict() for r in df.orderBy(*order).limit(most).collect()]
+    return {
+        "changed_files": sorted(changed_files),
+        "risk": rows(found["risk"], F.desc("n_reasons"), "path"),
+        "affected_symbols": [r["name"] for r in rows(found["radius"].select("name").distinct(), "name")],
+        "affected_files": [r["path"] for r in rows(found["affected_files"], "path")],
+        "tests": [r["test_path"] for r in rows(found["tests"].groupBy("test_path").agg(F.min("strategy").alias("strategy")), "strategy", "test_path")],
+        "queue": rows(found["queue"], "priority", "file", "symbol"),
+    }
+
+
+def render(pack: dict) -> str:
+    """report() for people."""
+    out = ["# Change analysis", "", "## Risk", "", *[f"- `{r['path']}`: {r['level']} ({r['n_reasons']} reasons)" for r in pack["risk"]]]
+    for title, key in (("Affected symbols", "affected_symbols"), ("Affected files", "affected_files"), ("Tests to run", "tests")):
+        out += ["", f"## {title}", "", *[f"- `{x}`" for x in pack[key]]]
+    return "\n".join([*out, "", "## Inspection queue", "", *[f"{r['priority']}. `{r['symbol']}` in {r['file']}: {r['reason']}" for r in pack["queue"]]])

@@ -2,16 +2,22 @@
 
 Everything is built from columns: texts are split into lines, patterns of the
 file's language are tried on each, and what depends on earlier lines (the class
-a method stands in) is a window over the lines of one file.
+a method stands in) is a window over the lines of one file. Only where a block
+ends is found by a function, which goes over each text once.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.confidence import line_call_confidence
 from sparkloom.functions.paths import PARSER_EXTENSIONS, language_of, stem
+from sparkloom.operators.relations import innermost
 
 _ID = r"[A-Za-z_]\w*"
 PY_CLASS, PY_DEF = rf"^\s*class\s+({_ID})", rf"^\s*(?:async\s+)?def\s+({_ID})"
@@ -25,12 +31,65 @@ JS_DEF, JS_ARROW = rf"function\s+({_ID})", rf"({_ID})\s*=\s*(?:async\s+)?(?:\([^
 JS_CLASS, JS_IMPORT = rf"class\s+({_ID})", r"""import\s+.*from\s+['"](.+)['"]"""
 RS_DEF, RS_TYPE, RS_USE = rf"fn\s+({_ID})", rf"(?:trait|enum|struct)\s+({_ID})", r"use\s+([^;]+);"
 NOT_CALLS = ("for", "if", "return", "switch", "while")
+_BRACES = re.compile(r"[{};\n]")
+
+
+def block_ends(text: str, language: str | None) -> list[int]:
+    """For each line the last line of the block that it heads: by indentation in Python, else by braces.
+
+    A line without a block of its own ends itself; so does a declaration, whose
+    semicolon comes before any brace. Braces in strings and comments count.
+    """
+    rows = text.split("\n")
+    ends = list(range(1, len(rows) + 1))
+    if language == "python":
+        stack: list[tuple[int, int]] = []  # (line, indentation) of the blocks that are open
+        last = 0
+        for at, row in enumerate(rows, 1):
+            if not (bare := row.strip()):
+                continue
+            indent = row.index(bare[0])
+            while stack and stack[-1][1] >= indent:
+                ends[stack.pop()[0] - 1] = last
+            stack.append((at, indent))
+            last = at
+        for at, _ in stack:
+            ends[at - 1] = last
+        return ends
+    line, heads, opened = 1, [1], []  # lines that wait for a brace; (lines, their brace's line)
+    for m in _BRACES.finditer(text):
+        c = m.group()
+        if c == "\n":
+            line += 1
+            heads.append(line)
+        elif c == "{":
+            opened.append(heads)
+            heads = []
+        elif c == ";":
+            for h in heads:
+                ends[h - 1] = line
+            heads = []
+        elif opened:
+            for h in opened.pop():
+                ends[h - 1] = line
+            heads = []
+    for h in (h for hs in opened for h in hs):  # never closed
+        ends[h - 1] = len(rows)
+    return ends
 
 
 def lines(contents: DataFrame) -> DataFrame:
-    """(file_id, path, language, line, text, next): each line of contents(file_id, path, text) with the one after it."""
-    c = contents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("file_id", "path", language_of(F.col("path"), PARSER_EXTENSIONS).alias("language"), F.split("text", "\n").alias("_l"))
-    return c.select("file_id", "path", "language", "_l", F.posexplode("_l").alias("_at", "text")).select("file_id", "path", "language", (F.col("_at") + 1).alias("line"), "text", F.get("_l", F.col("_at") + 1).alias("next"))
+    """(file_id, path, language, line, text, next, line_end): each line of contents(file_id, path, text) with the one after it and the end of its block."""
+
+    def with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = [block_ends(t, k) for t, k in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends, pa.list_(pa.int32()))], ["file_id", "path", "language", "text", "ends"])
+
+    c = contents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(F.col("file_id").cast("bigint"), "path", language_of(F.col("path"), PARSER_EXTENSIONS).alias("language"), "text")
+    c = c.mapInArrow(with_ends, "file_id bigint, path string, language string, text string, ends array<int>").select("file_id", "path", "language", "ends", F.split("text", "\n").alias("_l"))
+    rows = c.select("file_id", "path", "language", "_l", "ends", F.posexplode("_l").alias("_at", "text"))
+    return rows.select("file_id", "path", "language", (F.col("_at") + 1).alias("line"), "text", F.get("_l", F.col("_at") + 1).alias("next"), F.get("ends", F.col("_at")).alias("line_end"))
 
 
 def _named(pattern: str):
@@ -38,7 +97,7 @@ def _named(pattern: str):
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """(file_id, path, line, ord, name, kind, column_start, signature, docstring, parent_name) of lines(), a file's own row where it has none."""
+    """(file_id, path, line, ord, name, kind, column_start, signature, docstring, parent_name, line_end) of lines(), a file's own row where it has none."""
     lang, text = F.col("language"), F.col("text")
     js, is_py = lang.isin("javascript", "typescript"), lang == "python"
     py_class = F.when(is_py, _named(PY_CLASS))
@@ -55,29 +114,37 @@ def symbols(rows: DataFrame) -> DataFrame:
         F.trim("text").alias("signature"),
         F.when(doc.startswith('"""') | doc.startswith("'''"), F.regexp_replace(doc, r"""^["']+|["']+$""", "")).alias("docstring"),
         F.when(F.col("class").isNull() & is_method, F.col("inside")).alias("parent_name"),
+        "line_end",
     )
     others = [(0, "namespace", lang == "cpp", CPP_SPACE), (1, "class", lang == "cpp", CPP_CLASS), (2, "function", lang == "cpp", CPP_DEF), (0, "function", js, rf"(?:{JS_DEF}|{JS_ARROW})"), (1, "class", js, JS_CLASS), (0, "function", lang == "rust", RS_DEF), (1, "class", lang == "rust", RS_TYPE)]
     found = []
     for ord_, kind, when, pattern in others:
         name = F.nullif(F.coalesce(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")), F.nullif(F.regexp_extract("text", pattern, 2), F.lit(""))), F.lit("")) if "=>" in pattern else _named(pattern)
         found.append(F.struct(F.lit(ord_).alias("ord"), F.when(when, name).alias("name"), F.lit(kind).alias("kind")))
-    other = rows.where(lang.isin("cpp", "javascript", "typescript", "rust")).select("file_id", "path", "line", "text", "language", F.explode(F.filter(F.array(*found), lambda x: x["name"].isNotNull())).alias("x"))
+    other = rows.where(lang.isin("cpp", "javascript", "typescript", "rust")).select("file_id", "path", "line", "text", "language", "line_end", F.explode(F.filter(F.array(*found), lambda x: x["name"].isNotNull())).alias("x"))
     none = F.lit(None).cast("string")
-    other = other.select("file_id", "path", "line", "x.ord", "x.name", "x.kind", (F.expr("instr(text, x.name)") - 1).alias("column_start"), F.when(lang != "rust", F.trim("text")).alias("signature"), none.alias("docstring"), none.alias("parent_name"))
+    other = other.select("file_id", "path", "line", "x.ord", "x.name", "x.kind", (F.expr("instr(text, x.name)") - 1).alias("column_start"), F.when(lang != "rust", F.trim("text")).alias("signature"), none.alias("docstring"), none.alias("parent_name"), "line_end")
     own = py_out.unionAll(other)
     whole = rows.select("file_id", "path").distinct().join(own.select("file_id"), "file_id", "left_anti")
-    whole = whole.select("file_id", "path", F.lit(1).alias("line"), F.lit(0).alias("ord"), stem(F.col("path")).alias("name"), F.lit("file").alias("kind"), F.lit(None).cast("int").alias("column_start"), none.alias("signature"), none.alias("docstring"), none.alias("parent_name"))
+    whole = whole.select("file_id", "path", F.lit(1).alias("line"), F.lit(0).alias("ord"), stem(F.col("path")).alias("name"), F.lit("file").alias("kind"), F.lit(None).cast("int").alias("column_start"), none.alias("signature"), none.alias("docstring"), none.alias("parent_name"), F.lit(None).cast("int").alias("line_end"))
     return own.unionAll(whole)
 
 
 def imports(rows: DataFrame) -> DataFrame:
-    """(file_id, line, module, raw_text) of lines()."""
+    """(file_id, line, module, name, alias, raw_text) of lines(); name and alias are as the line has them, null where it has none."""
     lang = F.col("language")
-    first = F.trim(F.element_at(F.split(F.element_at(F.split(F.regexp_extract("text", PY_IMPORT, 2), ","), 1), " as "), 1))
+    raw = F.trim("text")
     no_symbol = (F.regexp_extract("text", PY_CLASS, 1) == "") & (F.regexp_extract("text", PY_DEF, 1) == "")
-    py = F.when((lang == "python") & F.col("text").rlike(PY_IMPORT) & no_symbol, F.coalesce(F.nullif(F.regexp_extract("text", PY_IMPORT, 1), F.lit("")), first))
-    module = F.coalesce(py, F.when(lang == "cpp", _named(CPP_INCLUDE)), F.when(lang.isin("javascript", "typescript"), _named(JS_IMPORT)), F.when(lang == "rust", F.trim(_named(RS_USE))))
-    return rows.select("file_id", "line", module.alias("module"), F.trim("text").alias("raw_text")).where("module is not null")
+    is_py = (lang == "python") & F.col("text").rlike(PY_IMPORT) & no_symbol
+    said = F.trim(F.regexp_extract("text", PY_IMPORT, 2))
+    first = F.trim(F.element_at(F.split(F.element_at(F.split(said, ","), 1), " as "), 1))
+    origin = F.nullif(F.regexp_extract("text", PY_IMPORT, 1), F.lit(""))
+    js = lang.isin("javascript", "typescript")
+    used = F.trim(_named(RS_USE))
+    module = F.coalesce(F.when(is_py, F.coalesce(origin, first)), F.when(lang == "cpp", _named(CPP_INCLUDE)), F.when(js, _named(JS_IMPORT)), F.when(lang == "rust", F.trim(F.regexp_replace(used, r"\s+as\s+\w+$", ""))))
+    name = F.when(is_py & origin.isNotNull(), F.trim(F.element_at(F.split(said, " as "), 1))).when(js, F.nullif(F.trim(F.regexp_extract("text", r"import\s+(\{[^}]+\}|\*\s+as\s+\w+|\w+)", 1)), F.lit("")))
+    alias = F.when(is_py, F.nullif(F.regexp_extract(said, r"\sas\s+(\w+)\s*$", 1), F.lit(""))).when(lang == "rust", F.nullif(F.regexp_extract(used, r"\sas\s+(\w+)$", 1), F.lit("")))
+    return rows.select("file_id", "line", module.alias("module"), name.alias("name"), alias.alias("alias"), raw.alias("raw_text")).where("module is not null")
 
 
 def callsites(rows: DataFrame) -> DataFrame:
@@ -89,20 +156,51 @@ def callsites(rows: DataFrame) -> DataFrame:
     return out.select("file_id", "line", "callee", line_call_confidence(F.col("callee"), lang).alias("confidence"))
 
 
+def _sources(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows(row_id, file_id, line) with source_id: the innermost symbol around the line, null at the level of the module."""
+    spans = named.where("kind <> 'file'").select("id", "file_id", "line_start", F.coalesce("line_end", "line_start").alias("line_end"))
+    return innermost(rows.withColumnRenamed("row_id", "point_id"), spans).withColumnRenamed("symbol_id", "source_id")
+
+
 def resolve_calls(calls: DataFrame, named: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, file_id, confidence): calls whose last name is that of a symbol.
+    """(source_id, target_id, kind, file_id, confidence, line, callee) of calls(file_id, line, callee) whose last name is that of a symbol.
 
-    The source is the innermost symbol that begins at or before the call; a
-    target in the same file is preferred (0.6), else the least id of that name
-    anywhere (0.4). The reference kinds are lower case.
+    named: symbols with the path of their file. The source is the innermost
+    symbol around the call. A target in the same file is preferred (0.6), else
+    the first of that name by path and line (0.4), so the result doesn't depend
+    on how symbols are numbered. A row for each call: calls of one line and
+    callee come once.
     """
-    c = calls.select("file_id", "line", F.regexp_extract("callee", r"(\w+)$", 1).alias("name"))
-    starts = named.where("kind <> 'file'").select(F.col("id").alias("source_id"), "file_id", F.col("line_start").alias("line"))
-    # as-of: calls and symbol starts of a file in one order, the last start before a call is its source
-    both = c.withColumn("source_id", F.lit(None).cast("bigint")).select("file_id", "line", "name", "source_id").unionAll(starts.select("file_id", "line", F.lit(None).cast("string").alias("name"), "source_id"))
-    w = Window.partitionBy("file_id").orderBy("line", F.col("name").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.withColumn("source", F.last("source_id", ignorenulls=True).over(w)).where("name is not null and source is not null").select("file_id", "name", F.col("source").alias("source_id"))
-    anywhere = named.where("kind <> 'file'").groupBy("name").agg(F.min("id").alias("far_id"))
-    here = named.where("kind <> 'file'").groupBy("file_id", "name").agg(F.min("id").alias("near_id"))
-    out = placed.join(here, ["file_id", "name"], "left").join(anywhere, "name")
-    return out.select("source_id", F.coalesce("near_id", "far_id").alias("target_id"), F.lit("call").alias("kind"), "file_id", F.when(F.col("near_id").isNotNull(), 0.6).otherwise(0.4).alias("confidence")).distinct()
+    c = calls.select("file_id", "line", "callee", F.regexp_extract("callee", r"(\w+)$", 1).alias("name")).distinct()
+    at = _sources(c.select("file_id", "line").distinct().withColumn("row_id", F.struct("file_id", "line")), named).select("file_id", "line", "source_id").where("source_id is not null")
+    first = F.min(F.struct("path", "line_start", "id"))
+    known = named.where("kind <> 'file'")
+    anywhere = known.groupBy("name").agg(first.getField("id").alias("far_id"))
+    here = known.groupBy("file_id", "name").agg(first.getField("id").alias("near_id"))
+    out = c.join(at, ["file_id", "line"]).join(here, ["file_id", "name"], "left").join(anywhere, "name")
+    return out.select("source_id", F.coalesce("near_id", "far_id").alias("target_id"), F.lit("call").alias("kind"), "file_id", F.when(F.col("near_id").isNotNull(), 0.6).otherwise(0.4).alias("confidence"), "line", "callee")
+
+
+def resolve_imports(found: DataFrame, files: DataFrame, named: DataFrame) -> DataFrame:
+    """(source_id, target_id, kind, file_id, confidence) of imports(): edges to the symbols that a file takes from another.
+
+    A module is the file whose path without suffix ends with it (dots and double
+    colons as slashes, the first by path). The source is the symbol around the
+    import, at the level of the module the file's first; the target is the symbol of the name that
+    is imported (1.0), else the first of the module's file (0.5).
+    """
+    first = F.min(F.struct("line_start", "id")).getField("id")
+    heads = named.groupBy("file_id").agg(first.alias("head"))
+    bare = F.split(F.regexp_replace("path", r"(?:/__init__)?\.[^./]*$", ""), "/")
+    posted = files.select(F.col("id").alias("to_file"), "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(bare)), lambda k: F.array_join(F.slice(bare, k, F.size(bare)), "/"))).alias("key"))
+    owners = posted.groupBy("key").agg(F.min(F.struct("path", "to_file")).getField("to_file").alias("to_file"))
+    key = F.regexp_replace(F.regexp_replace(F.regexp_replace("module", r"::\w+$|::\*$|::\{.*$", ""), r"^(?:\./|\.\./|\.+)+|\.(?:h|hh|hpp|js|ts)$", ""), r"\.|::", "/")
+    wanted = F.explode_outer(F.transform(F.split(F.regexp_replace(F.coalesce("name", F.when(F.col("module").contains("::"), F.regexp_extract("module", r"(\w+)$", 1))), r"[{}()]", ""), ","), lambda x: F.trim(F.element_at(F.split(x, " as "), 1))))
+    rows = found.select("file_id", "line", key.alias("key"), wanted.alias("wanted")).join(owners, "key").where("to_file <> file_id")
+    at = _sources(rows.select("file_id", "line").distinct().withColumn("row_id", F.struct("file_id", "line")), named).select("file_id", "line", "source_id")
+    taken = named.groupBy(F.col("file_id").alias("to_file"), F.col("name").alias("wanted")).agg(first.alias("own"))
+    out = (
+        rows.join(at, ["file_id", "line"], "left").join(heads, "file_id").join(heads.select(F.col("file_id").alias("to_file"), F.col("head").alias("to_head")), "to_file").join(taken, ["to_file", "wanted"], "left")
+        .select(F.coalesce("source_id", "head").alias("source_id"), F.coalesce("own", "to_head").alias("target_id"), F.lit("import").alias("kind"), "file_id", F.when(F.col("own").isNotNull(), 1.0).otherwise(0.5).alias("confidence"))
+    )
+    return out.groupBy("source_id", "target_id", "kind", "file_id").agg(F.max("confidence").alias("confidence"))

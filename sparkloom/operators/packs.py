@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.tokens import count
@@ -17,6 +17,8 @@ from sparkloom.operators import graph, ranking
 from sparkloom.operators.store import table_counts
 
 TOP_FILES = 20
+#: Rows of a drawn tree, the upper levels first.
+TREE_ROWS = 2000
 Tables = dict[str, DataFrame]
 
 
@@ -37,22 +39,30 @@ def repo_map(t: Tables, budget: int = 4000, focus: str | None = None, depth: int
     return pack
 
 
-def tree(files: DataFrame, depth: int = 4) -> str:
-    """The folders and files down to `depth` as a drawing."""
-    nodes = [r[0] for r in ranking.tree_nodes(files, depth).select("node").collect()]
-    if not nodes:
+def tree(files: DataFrame, depth: int = 4, most: int = 40) -> str:
+    """The folders and files down to `depth` as a drawing; of a folder `most` entries and how many more there are."""
+    nodes = ranking.tree_nodes(files, depth).withColumn("home", F.regexp_replace("node", r"/?[^/]*$", ""))
+    first = Window.partitionBy("home").orderBy("node")
+    shown = nodes.withColumn("place", F.row_number().over(first)).withColumn("n", F.count("*").over(Window.partitionBy("home"))).where(F.col("place") <= most)
+    rows = shown.orderBy("depth", "node").limit(TREE_ROWS).collect()
+    if not rows:
         return "(no files)"
     children: dict[str, list[str]] = {}
-    for n in nodes:
-        children.setdefault(n.rpartition("/")[0], []).append(n)
+    total: dict[str, int] = {}
+    for r in rows:
+        children.setdefault(r["home"], []).append(r["node"])
+        total[r["home"]] = r["n"]
     out: list[str] = []
 
     def draw(at: str, indent: str) -> None:
         own = sorted(children.get(at, []), key=lambda n: n.rpartition("/")[2])
+        more = total.get(at, 0) - len(own)
         for n in own:
-            last = n == own[-1]
+            last = n == own[-1] and not more
             out.append(f"{indent}{'└' if last else '├'}── {n.rpartition('/')[2]}")
             draw(n, indent + ("    " if last else "│   "))
+        if own and more:
+            out.append(f"{indent}└── ... {more} more")
 
     draw("", "")
     return "\n".join(out)

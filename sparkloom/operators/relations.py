@@ -41,11 +41,16 @@ def innermost(points: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> Da
     return points.join(best, "point_id", "left")
 
 
-def enclosing_parent(symbols: DataFrame) -> DataFrame:
-    """(id, parent_id): the last symbol before it in its file's list that spans it and may contain others; null without one."""
-    inner = symbols.select("id", "file_id", "line_start", F.coalesce("line_end", "line_start").alias("line_end"))
+def enclosing_parent(symbols: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(id, parent_id): the last symbol before it in its file's list that spans it and may contain others; null without one.
+
+    A symbol can only lie in what touches the bucket of lines in which it starts,
+    so a file's symbols are compared bucket by bucket, not each with each.
+    """
+    inner = symbols.select("id", "file_id", "line_start", F.coalesce("line_end", "line_start").alias("line_end")).withColumn("bucket", (F.col("line_start") / bucket).cast("int"))
     outer = symbols.where(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("outer_id"), "file_id", F.col("line_start").alias("outer_start"), F.coalesce("line_end", "line_start").alias("outer_end"))
-    spans = inner.join(outer, "file_id").where("outer_id < id and outer_start <= line_start and outer_end >= line_end")
+    outer = outer.where("outer_end >= outer_start").withColumn("bucket", F.explode(F.sequence((F.col("outer_start") / bucket).cast("int"), (F.col("outer_end") / bucket).cast("int"))))
+    spans = inner.join(outer, ["file_id", "bucket"]).where("outer_id < id and outer_start <= line_start and outer_end >= line_end")
     return symbols.select("id").join(spans.groupBy("id").agg(F.max("outer_id").alias("parent_id")), "id", "left")
 
 
@@ -70,7 +75,7 @@ def related_tests(changed: DataFrame, files: DataFrame, contents: DataFrame | No
 
     1 test named after the symbol, 2 name in a test folder beside an ancestor,
     3 name in the same folder, 4 a Python test whose text (contents(path, text))
-    names the module or its stem. 1 to 3 are equi-joins on derived keys, but for
+    names the module or its stem. All are equi-joins on derived keys, but for stems with white space in 4 and
     the "name contains the stem" test, which runs within one folder.
     """
     test_dirs = ["tests", "test", "__tests__", "spec"]
@@ -97,7 +102,16 @@ def related_tests(changed: DataFrame, files: DataFrame, contents: DataFrame | No
     ways = by_name.unionAll(adjacent).unionAll(beside)
     if contents is not None:
         texts = in_tests.where(F.col("base").endswith(".py")).select("test_path").join(contents.select(F.col("path").alias("test_path"), "text"), "test_path")
-        # the module path contains the stem, so the stem alone decides
-        mentions = texts.join(c.select("path", "stem").distinct(), F.col("text").contains(F.col("stem"))).select("path", "test_path", F.lit(4).alias("strategy"))
+        # the module path contains the stem, so the stem alone decides. A stem stands within a run of
+        # non-space characters; of each different run the pieces as long as some stem are looked up
+        stems = c.select("path", "stem").distinct()
+        plain = stems.where(~F.col("stem").rlike(r"\s") & (F.col("stem") != ""))
+        sizes = plain.select(F.length("stem").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("sizes"))  # a file's name has at most 255 bytes
+        said = texts.select("test_path", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
+        pieces = said.select("word").distinct().crossJoin(F.broadcast(sizes)).select("word", F.explode(F.expr("filter(sizes, n -> n <= length(word))")).alias("n"))
+        pieces = pieces.select("word", F.explode(F.expr("array_distinct(transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n)))")).alias("stem"))
+        mentions = said.join(pieces.join(plain, "stem").select("word", "path").distinct(), "word").select("path", "test_path")
+        odd = texts.join(stems.where(F.col("stem").rlike(r"\s") | (F.col("stem") == "")), F.col("text").contains(F.col("stem"))).select("path", "test_path")
+        mentions = mentions.unionAll(odd).distinct().select("path", "test_path", F.lit(4).alias("strategy"))
         ways = ways.unionAll(mentions)
     return ways.groupBy("path", "test_path").agg(F.min("strategy").alias("strategy"))

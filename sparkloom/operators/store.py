@@ -1,18 +1,33 @@
 """Maintaining the tables: upsert, append, cascade deletes, incremental differences, snapshots.
 
 Tables are Parquet snapshots. A change gives a new snapshot, written whole to a
-new folder and then named as current, so a failed job leaves the old one.
+new folder; then a file of the folder's name is put among the versions, in one
+step. The version of the greatest number is the current one, so a job that fails
+at any point leaves the old one. Old snapshots but the last KEPT are removed. Paths may be URIs.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
+import socket
+import time
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.schema import TABLES
 
+#: Snapshots that stay, the current one among them; readers of older ones must begin anew.
+KEPT = 3
+#: Files of the postings of a snapshot.
+BUCKETS = 16
+#: Seconds after which the lock of a writer that gives no sign is taken from it.
+STALE = 6 * 3600
 DIFF = ("new", "changed", "unchanged", "deleted")
 
 
@@ -74,6 +89,9 @@ def _without_file_ids(tables: dict[str, DataFrame], file_ids: DataFrame) -> dict
     for end in ("source_id", "target_id"):
         edges = edges.join(lost.withColumnRenamed("id", end), end, "left_anti")
     out["edges"] = edges.select(*tables["edges"].columns)
+    for raw in ("calls", "imports"):
+        if raw in tables:
+            out[raw] = tables[raw].join(file_ids, "file_id", "left_anti").select(*tables[raw].columns)
     if "callsites" in tables:
         out["callsites"] = tables["callsites"].join(out["edges"].select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select(*tables["callsites"].columns)
     return out
@@ -84,6 +102,17 @@ def replace_changed(old: DataFrame, fresh: DataFrame, changed: DataFrame) -> Dat
     return old.join(changed.select("file_id"), "file_id", "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
 
 
+def replace_rows(old: DataFrame, fresh: DataFrame, key: str, live: DataFrame) -> DataFrame:
+    """Rows of `old` whose key is still in live(key) and not among the fresh ones, and the fresh rows."""
+    kept = old.join(live.select(key), key, "left_semi").join(fresh.select(key), key, "left_anti")
+    return kept.select(*old.columns).unionByName(fresh.select(*old.columns))
+
+
+def stale_files(scanned: DataFrame, files: DataFrame) -> DataFrame:
+    """Known files(path, ...) whose path no scan shows any more."""
+    return files.join(scanned.select("path"), "path", "left_anti")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n) of each table."""
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
@@ -93,20 +122,100 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _fs(base: str):
+    """(file system, folder) of a path or URI."""
+    from pyarrow import fs
+
+    source, at = fs.FileSystem.from_uri(base if "://" in base else Path(base).absolute().as_uri())
+    return source, at.rstrip("/")
+
+
+def _versions(base: str) -> list[tuple[int, str]]:
+    """(number, folder) of the snapshots, the oldest first."""
+    from pyarrow import fs
+
+    source, at = _fs(base)
+    found = source.get_file_info(fs.FileSelector(f"{at}/versions", allow_not_found=True))
+    return sorted((int(f.base_name.partition("-")[0]), f.base_name.partition("-")[2]) for f in found if f.is_file and f.base_name[:1].isdigit())
+
+
+def current(base: str) -> str | None:
+    """The folder of the current snapshot; None without one."""
+    every = _versions(base)
+    return every[-1][1] if every else None
+
+
 def write_snapshot(tables: dict[str, DataFrame], base: str) -> str:
-    """Write all tables to a new folder under base and name it as current; gives the folder's name."""
-    name = f"v-{uuid.uuid4().hex}"
+    """Write all tables to a new folder under base and make it the current one; gives the folder's name."""
+    name = f"v{uuid.uuid4().hex}"
     for table, df in tables.items():
-        df.write.parquet(f"{base}/{name}/{table}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{base}/current")
+        out = df.repartition(BUCKETS, "term").sortWithinPartitions("term") if table == "postings" else df  # so that a term is in one file, and found by its statistics
+        out.write.parquet(f"{base}/{name}/{table}")
+    source, at = _fs(base)
+    every = _versions(base)
+    number = every[-1][0] + 1 if every else 1
+    source.create_dir(f"{at}/versions")
+    with source.open_output_stream(f"{at}/versions/{number:012d}-{name}") as f:  # its name says all
+        f.write(b"")
+    for old, folder in every[: max(0, len(every) + 1 - KEPT)]:
+        source.delete_file(f"{at}/versions/{old:012d}-{folder}")
+        with contextlib.suppress(FileNotFoundError):
+            source.delete_dir(f"{at}/{folder}")
     return name
 
 
 def read_snapshot(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    name = spark.read.text(f"{base}/current").first()[0]
+    name = current(base)
+    if name is None:
+        raise FileNotFoundError(f"no index at {base}")
     return {t: spark.read.schema(s).parquet(f"{base}/{name}/{t}") for t, s in TABLES.items()}
 
 
+class Locked(RuntimeError):
+    """Another writer has the index."""
+
+
+@contextlib.contextmanager
+def lock(base: str, wait: float | None = None, stale: float = STALE) -> Iterator[None]:
+    """Hold the index for writing. One writer's folder `lock` at a time; a writer that died on this host, or is older than `stale` seconds, loses it."""
+    source, at = _fs(base)
+    local = "://" not in base or base.startswith("file:")
+    mine = f"{at}/lock"
+    source.create_dir(at)
+    said = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "since": time.time()})
+    began = time.time()
+    while True:
+        if local:
+            try:
+                with open(os.open(mine, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    f.write(said)
+                break
+            except FileExistsError:
+                pass
+        elif not source.get_file_info(mine).is_file:
+            # object stores have no exclusive creation: the last to write has it, which each sees after a moment
+            with source.open_output_stream(mine) as f:
+                f.write(said.encode())
+            time.sleep(0.5)
+        with contextlib.suppress(FileNotFoundError, ValueError):
+            with source.open_input_stream(mine) as f:
+                text = f.read().decode()
+            if text == said:
+                break
+            holder = json.loads(text)
+            dead = holder["host"] == socket.gethostname() and not Path(f"/proc/{holder['pid']}").exists() and Path("/proc/self").exists()
+            if dead or time.time() - holder["since"] > stale:
+                source.delete_file(mine)
+                continue
+        if wait is not None and time.time() - began >= wait:
+            raise Locked(f"another writer has {base}")
+        time.sleep(0.05)
+    try:
+        yield
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            source.delete_file(mine)
+
+
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}

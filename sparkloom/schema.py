@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-VERSION = 2
+VERSION = 3
 
 
 def _table(*columns: tuple[str, object, bool]) -> StructType:
@@ -18,4 +18,9 @@ SYMBOLS = _table(("id", _long, False), ("file_id", _long, False), ("name", _text
 EDGES = _table(("id", _long, False), ("source_id", _long, False), ("target_id", _long, False), ("kind", _text, False), ("file_id", _long, False), ("confidence", _real, True), ("metadata", _text, True))
 CALLSITES = _table(("id", _long, False), ("edge_id", _long, False), ("line", _int, False), ("column", _int, True), ("context", _text, True))
 META = _table(("key", _text, False), ("value", _text, False))
-TABLES: dict[str, StructType] = {"files": FILES, "symbols": SYMBOLS, "edges": EDGES, "callsites": CALLSITES, "meta": META}
+#: What the parsers found, before names are resolved.
+CALLS = _table(("file_id", _long, False), ("line", _int, False), ("callee", _text, False), ("confidence", _real, True))
+IMPORTS = _table(("file_id", _long, False), ("line", _int, False), ("module", _text, False), ("name", _text, True), ("alias", _text, True), ("raw_text", _text, True))
+#: The inverted index of symbol names.
+POSTINGS = _table(("term", _text, False), ("doc_id", _long, False), ("tf", _long, False), ("positions", ArrayType(_int), False))
+TABLES: dict[str, StructType] = {"files": FILES, "symbols": SYMBOLS, "edges": EDGES, "callsites": CALLSITES, "calls": CALLS, "imports": IMPORTS, "postings": POSTINGS, "meta": META}

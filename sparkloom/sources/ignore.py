@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cached_property, reduce
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -52,12 +52,48 @@ class Rule:
         return path.rlike(rf"(?s)^(?:{body})$") | F.exists(F.split(path, "/"), lambda part: part.rlike(rf"(?s)^(?:{body})$")) | path.rlike(rf"(?s)^.*/(?:{body})$")
 
 
+    def covers(self, path: str, is_dir: bool) -> bool:
+        """matches() for one path."""
+        if self.folders_only and not is_dir:
+            return False
+        if self.at_root:
+            return path == self.glob or path.startswith(self.glob + "/")
+        return any(self._whole.match(p) for p in (path, *path.split("/"))) or self._below.match(path) is not None
+
+    @cached_property
+    def _whole(self) -> re.Pattern:
+        return re.compile(rf"(?s)^(?:{glob_regex(self.glob)})\Z")
+
+    @cached_property
+    def _below(self) -> re.Pattern:
+        return re.compile(rf"(?s)^.*/(?:{glob_regex(self.glob)})\Z")
+
+
+def parse_rules(lines: list[str]) -> list[Rule]:
+    """Rules of the lines of an ignore file; empty lines and comments are left out."""
+    return [Rule(x) for x in lines if x.strip() and not x.strip().startswith("#")]
+
+
+def rule_stats(rules: list[Rule]) -> dict[str, int]:
+    """How many rules there are, and of which form."""
+    return {"rules": len(rules), "keeps": sum(r.keeps for r in rules), "folders_only": sum(r.folders_only for r in rules), "at_root": sum(r.at_root for r in rules)}
+
+
+def ignored_path(path: str, rules: list[Rule], include: list[Rule] = (), exclude: list[Rule] = (), is_dir: bool = False) -> bool:
+    """ignored() for one path, for a walk that leaves folders out as it goes."""
+    if any(r.covers(path, is_dir) for r in include):
+        return False
+    if any(r.covers(path, is_dir) for r in exclude) or (base := path.rpartition("/")[2]).startswith(".") and base not in (".", ".."):
+        return True
+    return next((not r.keeps for r in reversed(rules) if r.covers(path, is_dir)), False)
+
+
 def load_rules(*sources: str | Path | list[str]) -> list[Rule]:
     """Rules of files and lists in order; empty lines and comments are left out, missing files are skipped."""
     out = []
     for s in sources:
         lines = s if isinstance(s, list) else Path(s).read_text().splitlines() if Path(s).exists() else []
-        out += [Rule(x) for x in lines if x.strip() and not x.strip().startswith("#")]
+        out += parse_rules(lines)
     return out
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +25,12 @@ def debounce(changes: DataFrame, gap: str = "1 second", by: str | None = None, l
 
     Batch or stream. A stream is watermarked by `late` (the gap, if not given):
     events later than that are dropped, and a batch comes out when the watermark
-    passes its end.
+    passes its end. Without `by` a stream's batches are by top folder.
     """
     if changes.isStreaming:
         changes = changes.withWatermark("ts", late or gap)
-    # a stream needs a key beside the session; this one is the same for all rows
-    one = [F.substring("path", 1, 0).alias("_all")] if changes.isStreaming else []
+    # a stream needs a key beside the session: the top folder of the path unless there is one, so that reducers share the work and each folder has batches of its own
+    one = [F.substring_index("path", "/", 1).alias("_folder")] if changes.isStreaming else []
     keys = [F.session_window("ts", gap).alias("w"), *([F.col(by)] if by else one)]
     out = changes.groupBy(*keys).agg(F.count("*").alias("n_changes"), F.array_sort(F.collect_set("path")).alias("paths"), F.max("ts").alias("last_change"))
     return out.select(*([by] if by else []), F.col("w.start").alias("started"), "last_change", "n_changes", "paths")
@@ -42,3 +45,42 @@ def change_stats(changes: DataFrame) -> DataFrame:
     """One row: events, different paths, seconds from first to last, events a minute."""
     span = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts"))
     return changes.agg(F.count("*").alias("n_events"), F.count_distinct("path").alias("n_paths"), (span / 1e6).alias("seconds"), F.when(span > 0, F.count("*") / (span / 6e7)).alias("per_minute"))
+
+
+@dataclass
+class Watch:
+    """Keeps an index up to date: the tree is listed every `period` seconds, and once it has been still for `quiet` seconds the index is run.
+
+    The listing goes through the index's own rules, so what it ignores wakes nobody.
+    """
+
+    engine: object
+    quiet: float = 1.0
+    period: float = 0.5
+    stats: dict = field(default_factory=lambda: {"runs": 0, "changed_files": 0})
+    _stop: threading.Event = field(default_factory=threading.Event)
+
+    def stop(self) -> None:
+        """End run() after what it is doing now."""
+        self._stop.set()
+
+    def _state(self) -> tuple:
+        """One row that differs when a path, a time or a size does."""
+        return tuple(self.engine.listing().agg(F.count("*"), F.sum(F.xxhash64("path", "mtime", "size").cast("decimal(38,0)"))).first())
+
+    def run(self, batches: int | None = None) -> Iterator[dict]:
+        """run_stats() of each index run, the first at once; ends after so many, or at stop()."""
+        indexed, seen, since = None, None, 0.0
+        while not self._stop.is_set():
+            now = self._state()
+            if now != seen:
+                seen, since = now, time.monotonic()
+            if now != indexed and (indexed is None or time.monotonic() - since >= self.quiet):
+                row = self.engine.index().first().asDict()
+                indexed = now
+                self.stats["runs"] += 1
+                self.stats["changed_files"] += row["new"] + row["changed"] + row["deleted"]
+                yield row
+                if batches is not None and self.stats["runs"] >= batches:
+                    return
+            self._stop.wait(self.period)

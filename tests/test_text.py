@@ -111,12 +111,29 @@ def test_line_parsers(spark):
     assert {n: k[0] for n, k in found["x.ts"].items()} == {"f": "function", "Q": "class"}
     assert {n: k[0] for n, k in found["l.rs"].items()} == {"run": "function", "S": "class"}
     assert set(found) == {"m.py", "v.go", "a.cpp", "x.ts", "l.rs"}
-    assert {(r["file_id"], r["module"]) for r in ingest.imports(lines).collect()} == {(1, "os"), (1, "a.b"), (3, "vector"), (4, "mod"), (5, "std::io")}
+    assert {(r["file_id"], r["module"], r["name"]) for r in ingest.imports(lines).collect()} == {(1, "os", None), (1, "a.b", "c"), (3, "vector", None), (4, "mod", "{a}"), (5, "std::io", None)}
+    assert {(r["name"], r["line_end"]) for r in ingest.symbols(lines).where("file_id = 1").collect()} == {("Shape", 8), ("area", 6), ("load", 8), ("helper", 10)}
+    assert {(r["name"], r["line_end"]) for r in ingest.symbols(lines).where("file_id in (3, 5)").collect()} == {("n", 3), ("K", 2), ("add", 3), ("run", 2), ("S", 3)}
     calls = ingest.callsites(lines)
     assert {(r["callee"], r["confidence"]) for r in calls.where("file_id = 1").collect()} == {("helper", 0.3), ("os.path.join", 0.6)}
     assert {r["callee"] for r in calls.where("file_id = 3").collect()} == {"add", "go"}
-    named = spark.createDataFrame([(1, 1, "Shape", "class", 3), (2, 1, "area", "method", 5), (3, 1, "helper", "function", 9), (4, 9, "go", "function", 1)], "id bigint, file_id bigint, name string, kind string, line_start int")
-    assert {(r["source_id"], r["target_id"], r["confidence"]) for r in ingest.resolve_calls(calls, named).collect()} == {(2, 3, 0.6)}
+    named = spark.createDataFrame([(1, 1, "Shape", "class", 3), (2, 1, "area", "method", 5), (3, 1, "helper", "function", 9), (4, 9, "go", "function", 1)], "id bigint, file_id bigint, name string, kind string, line_start int").selectExpr("*", "case line_start when 3 then 8 when 5 then 6 when 9 then 10 else 1 end line_end", "concat('f', file_id) path")
+    assert {(r["source_id"], r["target_id"], r["confidence"], r["line"]) for r in ingest.resolve_calls(calls, named).collect()} == {(2, 3, 0.6, 6)}
+
+
+def test_block_ends():
+    py = ["def f():", "", "    if x:", "        y", "", "  # c", "z", "class A:", "    pass", ""]
+    assert ingest.block_ends("\n".join(py), "python") == [6, 2, 4, 4, 5, 6, 7, 9, 9, 10]
+    c = ["struct S;", "int f(int a)", "{", "  if (a) {", "    g(); }", "}", "class K { int x; };", "void h() {"]
+    assert ingest.block_ends("\n".join(c), "cpp") == [1, 6, 6, 5, 5, 6, 7, 8]
+    assert ingest.block_ends("", "python") == [1] and ingest.block_ends("", None) == [1]
+
+
+def test_line_parsers_place_calls(spark):
+    lines = ingest.lines(spark.createDataFrame([(1, "m.py", PY)], "file_id bigint, path string, text string"))
+    calls = ingest.callsites(lines)
+    assert {(r["line"], r["callee"]) for r in calls.collect()} == {(6, "helper"), (10, "os.path.join")}
+
 
 
 def test_manifests(spark):
