@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import confidence, paths, tokens
 from sparkloom.functions.stem import words
-from sparkloom.operators import architecture, changes, effects, graph, ingest, modules, ranking, relations, search, store, workspace
+from sparkloom.operators import changes, graph, modules, ranking, relations, search, store, workspace
 from sparkloom.operators.export import label
 from sparkloom.plans.views import Index, with_views
 from sparkloom.runtime import cut
@@ -26,7 +26,11 @@ def query(sql: str | None = None, views: bool = True) -> Callable[[Callable[[Ind
     """Register a function of an Index under its name."""
 
     def add(f: Callable[[Index], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Index(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Index(spark, sf_dir))
+
+        run.module = f.__globals__["__name__"]
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = with_views(sql) if views else sql
         return f
@@ -426,70 +430,6 @@ def j13_blast_radius(x: Index) -> DataFrame:
 # architecture, effects, parsing ------------------------------------------------------------
 
 
-def _pages(x: Index) -> DataFrame:
-    return x.raw("pages").select(F.col("page_id").alias("file_id"), F.regexp_replace("url", r"^https?://[^/]*", "").alias("path"), F.col("html").alias("text"))
-
-
-def _case_layer() -> str:
-    path, text = "path", "text"
-    whens = "".join(f" WHEN regexp_matches({path}, '{p}') OR regexp_matches({text}, '{t}') THEN '{n}'" for n, p, t in ((n, p.replace("\\\\", "\\\\"), t) for n, p, t in architecture.LAYERS))
-    late = "".join(f" WHEN regexp_matches({text}, '{p}') THEN '{n}'" for n, p in architecture.LATE)
-    return f"CASE{whens}{late} END"
-
-
-_PAGES = "src AS (SELECT page_id AS file_id, regexp_replace(url, '^https?://[^/]*', '') AS path, html AS text FROM pages UNION ALL SELECT file_id, path, text FROM v_content)"
-
-
-def _texts(x: Index) -> DataFrame:
-    return _pages(x).unionAll(x.content)
-
-
-@query(f"{_PAGES} SELECT layer, CAST(count(*) AS BIGINT) AS n_files FROM (SELECT {_case_layer()} AS layer FROM src) t WHERE layer IS NOT NULL GROUP BY layer")
-def r2_layers(x: Index) -> DataFrame:
-    return architecture.layer_sizes(_texts(x))
-
-
-def _frameworks_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, '{kind}' AS type, count(*) AS n, max(CASE WHEN regexp_matches(text, '{use}') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) AS extra FROM src WHERE regexp_matches(text, '{imp.replace(chr(39), chr(39) * 2)}') OR regexp_matches(text, '{use}')" for n, kind, _, imp, use in architecture.FRAMEWORKS)
-    return f"{_PAGES}, f AS ({rows}) SELECT name, type, round(least(1.0::DOUBLE, n * 0.2::DOUBLE + extra), 3) AS confidence, CAST(n AS BIGINT) AS n_files FROM f WHERE n > 0"
-
-
-@query(_frameworks_sql())
-def r1_frameworks(x: Index) -> DataFrame:
-    return architecture.frameworks(_texts(x)).select("name", "type", "confidence", "n_files")
-
-
-@query()
-def r3_patterns(x: Index) -> DataFrame:
-    return architecture.patterns(_texts(x))
-
-
-def _effects_sql() -> str:
-    def total(spec: str) -> str:
-        return " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in effects.patterns_of(spec))
-
-    rows = " UNION ALL ".join(f"SELECT file_id, '{name}' AS effect, {total(spec)} AS n FROM src" for name, _, spec in effects.CATALOGUE)
-    return f"{_PAGES}, e AS ({rows}), hit AS (SELECT effect, n FROM e WHERE n > 0)"
-
-
-@query(_effects_sql() + """, none AS (SELECT count(*) AS n FROM (SELECT file_id, sum(n) AS k FROM e GROUP BY file_id HAVING sum(n) = 0))
-  SELECT effect, CAST(sum(n) AS BIGINT) AS n FROM hit GROUP BY effect""")
-def a7_effect_summary(x: Index) -> DataFrame:
-    return effects.effect_summary(effects.function_effects(_texts(x), ("file_id",))).where("effect <> 'PURE'")
-
-
-@query()
-def d1_function_effects(x: Index) -> DataFrame:
-    code = x.content.select("file_id", "path", "text")
-    functions = x.symbols.select("id", "file_id", "name", "kind", "line_start", "line_end")
-    return effects.function_effects(effects.function_texts(code, functions))
-
-
-@query()
-def u2_parse_lines(x: Index) -> DataFrame:
-    return ingest.symbols(ingest.lines(x.content.withColumn("path", F.concat("path", F.lit(".py")))))
-
-
 @query(r"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages) t""", views=False)
 def u11_links(x: Index) -> DataFrame:
     return x.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href"))

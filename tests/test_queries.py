@@ -17,11 +17,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+OWN = {n for n, f in QUERIES.items() if f.module == "sparkloom.plans.queries"}
+
+
+@pytest.mark.parametrize("name", sorted(OWN & set(ORACLES)))
 def test_same_as_duckdb(spark, con, name):
     compare(QUERIES[name](spark, SF), con, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(OWN - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
