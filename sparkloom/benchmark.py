@@ -7,7 +7,8 @@ import tempfile
 import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.engine import Engine
 from sparkloom.operators import packs, search
@@ -59,3 +60,16 @@ def run(spark: SparkSession, n_files: int = 100, n_changed: int = 10) -> dict[st
         return out
     finally:
         shutil.rmtree(root, ignore_errors=True)
+
+
+def summary(runs: DataFrame) -> DataFrame:
+    """(operation, n, least, most, mean, median, total) of runs(operation, seconds)."""
+    s = F.col("seconds")
+    two = lambda c: F.round(c, 2)
+    return runs.groupBy("operation").agg(F.count("*").alias("n"), two(F.min(s)).alias("least"), two(F.max(s)).alias("most"), two(F.avg(s)).alias("mean"), two(F.median(s)).alias("median"), F.round(F.sum(s), 1).alias("total"))
+
+
+def parse_stats(outcomes: DataFrame) -> DataFrame:
+    """One row of outcomes(path, ok, n_symbols, seconds): total, success, failed, symbols and files a second."""
+    total = F.sum("seconds")
+    return outcomes.agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("n_symbols"), F.lit(0)).cast("bigint").alias("symbols"), F.round(F.when(total > 0, F.count("*") / total), 3).alias("files_per_second"))

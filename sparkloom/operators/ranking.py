@@ -64,3 +64,8 @@ def tree_nodes(files: DataFrame, max_depth: int = 4) -> DataFrame:
     parts = F.split("path", "/")
     cuts = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_depth))), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("node"), k.alias("depth")))
     return files.select(F.explode(cuts).alias("x")).select("x.node", "x.depth").distinct()
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """(language) of each language that files have."""
+    return files.select("language").distinct()

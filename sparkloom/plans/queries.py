@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.benchmark import summary
 from sparkloom.functions import confidence, paths, tokens
 from sparkloom.functions.stem import words
-from sparkloom.operators import changes, graph, modules, ranking, relations, search, store, workspace
+from sparkloom.operators import graph, modules, ranking, relations, store, workspace
 from sparkloom.operators.export import label
 from sparkloom.plans.views import Index, with_views
 from sparkloom.runtime import cut
@@ -101,20 +102,16 @@ def w5_cascade_delete(x: Index) -> DataFrame:
 
 @query(f"{_NEXT} SELECT path FROM v_files WHERE path NOT IN (SELECT path FROM scan2)")
 def w6_stale_files(x: Index) -> DataFrame:
-    return x.files.join(_next_scan(x).select("path"), "path", "left_anti").select("path")
+    return store.stale_files(_next_scan(x), x.files).select("path")
 
 
 # predicates and scalars ----------------------------------------------------
 
 
-@query("SELECT id, name FROM v_symbols WHERE name ILIKE '%GIZ%'")
+@query("SELECT s.name, s.kind, f.path, s.line_start FROM v_symbols s JOIN v_files f ON s.file_id = f.id WHERE s.name ILIKE '%GIZ%'")
 def p2_name_like(x: Index) -> DataFrame:
-    return x.symbols.where(F.col("name").ilike("%GIZ%")).select("id", "name")
-
-
-@query("SELECT id, path FROM v_files WHERE starts_with(path, 'src')")
-def p3_focus_prefix(x: Index) -> DataFrame:
-    return x.files.where(F.col("path").startswith("src")).select("id", "path")
+    one = lambda df: df.withColumn("repo", F.lit("here"))
+    return workspace.find_symbol(one(x.symbols), one(x.files), "GIZ").select("name", "kind", "path", "line_start")
 
 
 @query(r"SELECT path FROM v_files WHERE regexp_matches(lower(path), 'test_|_test\.|_spec\.|\.spec\.|tests/|__tests__/')")
@@ -122,19 +119,6 @@ def p6_test_files(x: Index) -> DataFrame:
     return x.files.where(paths.is_test_path(F.col("path"))).select("path")
 
 
-def _changed(x: Index) -> DataFrame:
-    """Symbols of files that the next scan alters, with a line of text."""
-    return x.symbols.join(x.files.where("size < 0 or language = 'go'").select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "name", "kind", "line_start", F.col("signature").alias("line_text"))
-
-
-@query("""hit AS (SELECT f.path, name, kind FROM v_symbols s JOIN v_files f ON s.file_id = f.id WHERE f.size < 0 OR f.language = 'go'),
-  n AS (SELECT path, sum(CASE WHEN name LIKE '\\_%' ESCAPE '\\' THEN 0 ELSE 1 END + CASE WHEN kind IN ('class', 'interface') AND name NOT LIKE '\\_%' ESCAPE '\\' THEN 1 ELSE 0 END)
-    + CASE WHEN regexp_matches(path, '/(api|exports|public)/|__init__\\.py') THEN 1 ELSE 0 END AS k FROM hit GROUP BY path)
-  SELECT path, CASE WHEN k >= 3 THEN 'high' WHEN k >= 1 THEN 'medium' ELSE 'low' END AS level, CAST(k AS BIGINT) AS n_reasons FROM n""")
-def p9_api_risk(x: Index) -> DataFrame:
-    return changes.api_risk(_changed(x))
-
-
 @query("SELECT id, round(arc, 3) AS confidence FROM v_sure")
 def p11_edge_confidence(x: Index) -> DataFrame:
     return x.edges.select("id", F.round(confidence.edge_confidence(F.col("metadata"), F.col("kind")), 3).alias("confidence"))
@@ -147,10 +131,9 @@ def p12_call_confidence(x: Index) -> DataFrame:
     return x.symbols.select("id", F.round(confidence.call_confidence(callee), 2).alias("confidence"))
 
 
-@query("SELECT id, CASE WHEN length(signature) > 12 THEN left(signature, 9) || '...' ELSE signature END AS short, translate(signature, ' #-', '___') AS safe FROM v_symbols")
-def x1_labels(x: Index) -> DataFrame:
-    cut = F.when(F.length("signature") > 12, F.concat(F.substring("signature", 1, 9), F.lit("..."))).otherwise(F.col("signature"))
-    return x.symbols.select("id", cut.alias("short"), F.translate("signature", " #-", "___").alias("safe"))
+@query("SELECT id, translate(signature, ':-.', '___') AS safe FROM v_symbols")
+def u17_safe_ids(x: Index) -> DataFrame:
+    return x.symbols.select("id", modules.safe_id("signature").alias("safe"))
 
 
 @query("SELECT page_id, CASE WHEN length(url) > 40 THEN left(url, 37) || '...' ELSE url END AS short FROM pages", views=False)
@@ -200,11 +183,6 @@ def j8_parent_by_name(x: Index) -> DataFrame:
     return relations.parent_by_name(x.symbols.withColumn("parent_name", F.when(F.col("kind") == "method", F.col("name"))))
 
 
-@query("SELECT id FROM v_symbols WHERE id NOT IN (SELECT target_id FROM v_edges)")
-def j9_symbols_without_callers(x: Index) -> DataFrame:
-    return x.symbols.select("id").join(x.edges.select(F.col("target_id").alias("id")), "id", "left_anti")
-
-
 @query("""m AS (SELECT 'py:' || n_name AS id, n_name AS name FROM nation UNION ALL SELECT 'rs:' || r_name, r_name FROM region),
   e AS (SELECT c_name AS source, CASE WHEN c_acctbal < 0 THEN 'js:outside' ELSE 'js:' || n_name END AS target FROM customer JOIN nation ON c_nationkey = n_nationkey),
   last AS (SELECT name, max(id) AS resolved_target FROM m GROUP BY name)
@@ -233,7 +211,7 @@ def a1_table_counts(x: Index) -> DataFrame:
 
 @query("SELECT DISTINCT language FROM v_files")
 def a2_languages(x: Index) -> DataFrame:
-    return x.files.select("language").distinct()
+    return ranking.languages(x.files)
 
 
 @query("SELECT target_id AS symbol_id, CAST(count(*) AS BIGINT) AS fan_in FROM v_edges WHERE source_id IN (SELECT id FROM v_symbols) GROUP BY target_id")
@@ -255,15 +233,9 @@ def a6_workspace_totals(x: Index) -> DataFrame:
     return workspace.summary(repo, x.symbols.select("file_id").join(repo, "file_id"), x.edges.select("file_id").join(repo, "file_id"))
 
 
-@query("SELECT l_returnflag AS operation, CAST(count(*) AS BIGINT) AS n, round(min(l_quantity), 2) AS least, round(max(l_quantity), 2) AS most, round(avg(l_quantity), 2) AS mean, round(median(l_quantity), 2) AS median FROM lineitem GROUP BY l_returnflag", views=False)
+@query("SELECT l_returnflag AS operation, CAST(count(*) AS BIGINT) AS n, round(min(l_quantity), 2) AS least, round(max(l_quantity), 2) AS most, round(avg(l_quantity), 2) AS mean, round(median(l_quantity), 2) AS median, round(sum(l_quantity), 1) AS total FROM lineitem GROUP BY l_returnflag", views=False)
 def a13_run_summary(x: Index) -> DataFrame:
-    q = F.col("l_quantity")
-    return x.raw("lineitem").groupBy(F.col("l_returnflag").alias("operation")).agg(F.count("*").alias("n"), F.round(F.min(q), 2).alias("least"), F.round(F.max(q), 2).alias("most"), F.round(F.avg(q), 2).alias("mean"), F.round(F.median(q), 2).alias("median"))
-
-
-@query("SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS n, round(sum(value), 1) AS total FROM events GROUP BY event_type", views=False)
-def a15_timing_totals(x: Index) -> DataFrame:
-    return x.raw("events").groupBy(F.col("event_type").alias("operation")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 1).alias("total"))
+    return summary(x.raw("lineitem").select(F.col("l_returnflag").alias("operation"), F.col("l_quantity").alias("seconds")))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT path) AS BIGINT) AS n_paths, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 2) AS seconds FROM v_changes")
@@ -371,7 +343,7 @@ def g7_neighbourhood(x: Index) -> DataFrame:
 
 @query("SELECT 1")
 def g9_call_chain(x: Index) -> DataFrame:
-    return graph.call_chain(x.edges, ROOT, 3).groupBy("node", "depth").agg(F.count("*").alias("walks"))
+    return graph.walks(cut(x.edges.select("source_id", "target_id")), ROOT, 3)
 
 
 ORACLES["g9_call_chain"] = with_views(f"""walk AS (SELECT node, depth FROM (WITH RECURSIVE w(node, depth) AS (SELECT CAST({ROOT} AS BIGINT), 0 UNION ALL SELECT e.target_id, w.depth + 1 FROM w JOIN v_edges e ON e.source_id = w.node WHERE w.depth < 3) SELECT * FROM w) t)
@@ -398,11 +370,6 @@ def k19_window_budget(x: Index) -> DataFrame:
     return x.raw("orders").select(F.col("o_orderkey").alias("id"), tokens.window_budget_column(F.col("o_totalprice")).alias("budget"))
 
 
-@query()
-def k15_sections(x: Index) -> DataFrame:
-    return tokens.section_rows(x.content.where("text is not null"), "file_id", "text")
-
-
 @query()
 def k17_truncate(x: Index) -> DataFrame:
     return x.content.select("file_id", tokens.truncate_column(F.col("text"), 200).alias("text"))
@@ -417,24 +384,6 @@ def u15_words(x: Index) -> DataFrame:
     return said.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_symbols"))
 
 
-@query()
-def u15_search(x: Index) -> DataFrame:
-    return search.search(cut(search.postings(x.symbols)), "wid* OR (red NOT bolt)", None)
-
-
-@query()
-def j13_blast_radius(x: Index) -> DataFrame:
-    return changes.blast_radius(_changed(x), x.symbols, cut(search.postings(x.symbols)))
-
-
-# architecture, effects, parsing ------------------------------------------------------------
-
-
-@query(r"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages) t""", views=False)
-def u11_links(x: Index) -> DataFrame:
-    return x.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href"))
-
-
 # changes over time -----------------------------------------------------------------------------
 
 
@@ -443,8 +392,3 @@ def u11_links(x: Index) -> DataFrame:
   SELECT user_id, min(ts) AS started, max(ts) AS last_change, CAST(count(*) AS BIGINT) AS n_changes FROM s GROUP BY user_id, batch""")
 def t4_debounce(x: Index) -> DataFrame:
     return debounce(x.changes, "10 minutes", by="user_id").select("user_id", "started", "last_change", "n_changes")
-
-
-@query("""WITH r AS (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations) SELECT conv_id, turn, role, following FROM r""", views=False)
-def u7_following_line(x: Index) -> DataFrame:
-    return x.raw("conversations").select("conv_id", "turn", "role", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("following"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -28,11 +28,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a private one only where none is named."""
+    """Use the shared folder the cluster names; a private one only on a local master, where all tasks see it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-ckpt-"))
 
 
@@ -44,40 +46,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of `edges(a, b)`; component = the least node reached.
-
-    Alternating large-star and small-star contraction: each round is two
-    aggregations with map-side combine, so a hub is reduced before the shuffle,
-    and the number of rounds grows with the logarithm of the diameter. Rows with
-    a null end are ignored; a self-loop yields the node alone. Every round is
-    checkpointed, so a lost executor costs one round at most.
-    """
-    raw = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null")
-    links = cut(raw.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    own = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    links = links.where("u <> v")
-    before = None
-    while True:
-        both = links.union(links.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: neighbours above u go to the least of u's neighbourhood
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: neighbours below u, and u itself, go to that least
-        small_low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            big.join(small_low, "u")
-            .select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        links = cut(small)
-        now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    return own.join(links.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select(
-        "node", F.coalesce("c", "node").alias("component")
-    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "documents array<struct<relative_path:string,language:string,occurrences:array<struct<range:array<int>,symbol:string,symbol_roles:int>>,symbols:array<struct<symbol:string,display_name:string,kind:string,documentation:array<string>,relationships:array<struct<symbol:string,is_reference:boolean,is_definition:boolean,is_implementation:boolean>>>>>>"
@@ -47,9 +47,26 @@ def references(occurrences: DataFrame, points: DataFrame) -> DataFrame:
 def call_hierarchy(symbols: DataFrame, occurrences: DataFrame, per_symbol: int = 5) -> DataFrame:
     """(symbol, other, direction, path, line): for each relationship that is a reference the first places of the related symbol."""
     rel = symbols.select("symbol", F.explode("relationships").alias("r")).where("r.is_reference").select("symbol", F.col("r.symbol").alias("other"), F.when(F.coalesce("r.is_definition", F.lit(False)), "outgoing").otherwise("incoming").alias("direction"))
-    places = occurrences.groupBy(F.col("symbol").alias("other")).agg(F.slice(F.array_sort(F.collect_list(F.struct("path", "at", "line"))), 1, per_symbol).alias("places"))
-    return rel.join(places, "other").select("symbol", "other", "direction", F.explode("places").alias("p")).select("symbol", "other", "direction", "p.path", "p.line")
+    first = Window.partitionBy("symbol").orderBy("path", "at")  # Spark keeps the first few of each partition before the shuffle
+    places = occurrences.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_symbol).select(F.col("symbol").alias("other"), "path", "line")
+    return rel.join(places, "other").select("symbol", "other", "direction", "path", "line")
+
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_documents"), F.coalesce(F.sum(F.size("occurrences")), F.lit(0)).alias("n_occurrences"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("n_symbols"), F.array_sort(F.collect_set("language")).alias("languages"))
+
+
+#: Kinds of symbols by their numbers in an index.
+KINDS = dict(enumerate("array assertion associated_type attribute axiom boolean class constant constructor data_family enum enum_member error event fact field file function".split(), 1))
+
+
+def kind_name(kind):
+    """The name of a kind; names and unknown numbers stay."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (str(k), v)]), kind), kind)
+
+
+def import_symbols(docs: DataFrame) -> DataFrame:
+    """(path, symbol) of the symbols that stand for imports: modules, and ids that say so."""
+    s = symbols(docs)
+    return s.where((F.lower("kind") == "module") | F.lower("symbol").contains("import")).select("path", "symbol")

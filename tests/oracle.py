@@ -39,10 +39,12 @@ def rows(columns: list[str], data) -> Counter:
     return Counter(tuple(plain(r[i]) for i in order) for r in data)
 
 
-def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
+def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> int:
+    """How many rows both have."""
     got = rows(df.columns, df.collect())
     res = con.execute(sql)
     columns = [d[0] for d in res.description]
     want = rows(columns, res.fetchall())
     assert sorted(df.columns) == sorted(columns)
     assert got == want, f"{sum(got.values())} rows, {sum(want.values())} wanted; extra {list((got - want).items())[:3]}, missing {list((want - got).items())[:3]}"
+    return sum(got.values())
