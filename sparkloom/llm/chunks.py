@@ -96,18 +96,20 @@ def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN, min_bytes: int = M
     """(doc_id, byte_start, byte_end, n_chunks, source_doc_ids): spans that occurred before, and the documents that own their chunks."""
     chunks = chunk(docs, min_bytes, max_bytes).repartition("digest")
     place = F.struct("doc_id", "place")
-    owners = chunks.groupBy("digest").agg(F.min(place).alias("own"), F.max(place).alias("last")).where("own <> last").select("digest", "own")
+    # all columns are read on both sides, so that one exchange serves them
+    owners = chunks.groupBy("digest").agg(F.min(place).alias("own"), F.max(place).alias("last"), F.max("n_bytes").alias("size")).where("own <> last and size > 0").select("digest", "own")
     again = (
         chunks.join(owners.hint("shuffle_hash"), "digest")
         .where(place != F.col("own"))
         .select("doc_id", "place", "n_bytes", F.col("own.doc_id").alias("owner"))
         .distinct()
     )
-    order = Window.partitionBy("doc_id", F.shiftright("place", 32)).orderBy("place")
+    order = Window.partitionBy("doc_id", "txt").orderBy("place")
     spans = (
-        again.withColumn("new", F.coalesce(F.lag(F.col("place") + F.col("n_bytes")).over(order) != F.col("place"), F.lit(True)).cast("int"))
+        again.withColumn("txt", F.shiftright("place", 32))
+        .withColumn("new", F.coalesce(F.lag(F.col("place") + F.col("n_bytes")).over(order) != F.col("place"), F.lit(True)).cast("int"))
         .withColumn("span", F.sum("new").over(order))
-        .groupBy("doc_id", F.shiftright("place", 32).alias("txt"), "span")
+        .groupBy("doc_id", "txt", "span")
         .agg(
             F.min("place").alias("first"),
             F.max(F.col("place") + F.col("n_bytes")).alias("end"),
