@@ -8,8 +8,17 @@
 5. bpe: texts become token ids, with proof that they decode to the same text.
 
 A stage gets all rows its predecessor kept. The first four return the columns of
-`documents` (and any others they were given); rows with null doc_id or text pass
-through the filters, which have no ground to reject them.
+`documents` (and any others they were given).
+
+Defined cases: rows with null doc_id or text pass through the filters, which have
+no ground to reject them, and nulls in other columns are carried; an empty text
+stays and has no tokens; texts of any length are read whole; of rows that repeat
+a doc_id and text one stays after near_dedup (a row without doc_id always
+stays); of near copies with equal doc_id the text of the least hash stays; an
+empty table gives an empty result.
+
+Each result is a table in the shared folder; once the next stage is written the
+one before it is removed, and the last stays for its reader.
 """
 
 from __future__ import annotations
@@ -70,5 +79,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}_{name}")
+        if k:
+            _remove(spark, f"{base}/{k - 1}_{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{base}/{k}_{name}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
