@@ -25,12 +25,13 @@ def debounce(changes: DataFrame, gap: str = "1 second", by: str | None = None, l
 
     Batch or stream. A stream is watermarked by `late` (the gap, if not given):
     events later than that are dropped, and a batch comes out when the watermark
-    passes its end. Without `by` a stream's batches are by top folder.
+    passes its end. Without `by` all changes are one
+    sequence, so one task orders them: give a column of repositories to share the work.
     """
     if changes.isStreaming:
         changes = changes.withWatermark("ts", late or gap)
-    # a stream needs a key beside the session: the top folder of the path unless there is one, so that reducers share the work and each folder has batches of its own
-    one = [F.substring_index("path", "/", 1).alias("_folder")] if changes.isStreaming else []
+    # a stream needs a key beside the session; this one is the same for all rows
+    one = [F.substring("path", 1, 0).alias("_all")] if changes.isStreaming else []
     keys = [F.session_window("ts", gap).alias("w"), *([F.col(by)] if by else one)]
     out = changes.groupBy(*keys).agg(F.count("*").alias("n_changes"), F.array_sort(F.collect_set("path")).alias("paths"), F.max("ts").alias("last_change"))
     return out.select(*([by] if by else []), F.col("w.start").alias("started"), "last_change", "n_changes", "paths")

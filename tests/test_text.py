@@ -113,7 +113,7 @@ def test_line_parsers(spark):
     assert set(found) == {"m.py", "v.go", "a.cpp", "x.ts", "l.rs"}
     assert {(r["file_id"], r["module"], r["name"]) for r in ingest.imports(lines).collect()} == {(1, "os", None), (1, "a.b", "c"), (3, "vector", None), (4, "mod", "{a}"), (5, "std::io", None)}
     assert {(r["name"], r["line_end"]) for r in ingest.symbols(lines).where("file_id = 1").collect()} == {("Shape", 8), ("area", 6), ("load", 8), ("helper", 10)}
-    assert {(r["name"], r["line_end"]) for r in ingest.symbols(lines).where("file_id in (3, 5)").collect()} == {("n", 3), ("K", 2), ("add", 3), ("run", 2), ("S", 3)}
+    assert {(r["name"], r["line_end"]) for r in ingest.symbols(lines).where("file_id in (3, 5)").collect()} == {("n", 3), ("K", 3), ("add", 3), ("run", 2), ("S", 3)}
     calls = ingest.callsites(lines)
     assert {(r["callee"], r["confidence"]) for r in calls.where("file_id = 1").collect()} == {("helper", 0.3), ("os.path.join", 0.6)}
     assert {r["callee"] for r in calls.where("file_id = 3").collect()} == {"add", "go"}
