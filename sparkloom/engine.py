@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.config import Config
-from sparkloom.operators import ingest, relations, search, store
+from sparkloom.operators import graph, ingest, relations, search, store
 from sparkloom.runtime import cut
 from sparkloom.schema import TABLES, VERSION
 from sparkloom.sources.files import list_tree, read_contents, read_text
@@ -109,3 +109,20 @@ class Engine:
         edges = cut(_typed(store.with_ids(every.withColumn("metadata", F.to_json(F.struct("confidence"))), keys), "edges"))
         placed = resolved.join(edges.select(F.col("id").alias("edge_id"), *keys), keys).select("edge_id", "line", F.col("callee").alias("context"))
         return edges, cut(_typed(store.with_ids(placed, ["edge_id", "line", "context"]), "callsites"))
+
+    # questions to the stored index
+
+    def callers(self, symbol: int | str, depth: int = 1, min_conf: float = 0.0) -> DataFrame:
+        t = self.tables()
+        return graph.callers(t["symbols"], t["edges"], t["files"], symbol, depth, min_conf)
+
+    def callees(self, symbol: int | str, depth: int = 1, min_conf: float = 0.0) -> DataFrame:
+        t = self.tables()
+        return graph.callees(t["symbols"], t["edges"], t["files"], symbol, depth, min_conf)
+
+    def impact(self, targets: list[int | str], depth: int = 2) -> dict[str, DataFrame]:
+        t = self.tables()
+        return graph.impact(t["symbols"], t["edges"], t["files"], targets, depth)
+
+    def find(self, query: str, limit: int | None = 50) -> DataFrame:
+        return search.search(self.tables()["postings"], query, limit)

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions import paths, tokens
 from sparkloom.functions.stem import stem
 from sparkloom.operators import architecture, changes, effects, ingest, modules, search, workspace
-from sparkloom.sources import diff, files, manifests, scip
+from sparkloom.sources import diff, files, manifests, providers, scip
 from sparkloom.sources.ignore import Rule, ignored, ignored_with_parents, load_rules
 from sparkloom.streaming import watch
 
@@ -180,6 +181,16 @@ def test_scip(spark, tmp_path):
     assert tuple(scip.statistics(docs).first())[:3] == (1, 2, 1)
 
 
+def test_first_provider_that_answers(spark):
+    raw = spark.createDataFrame([([("a.py", "python", [([0, 4], "f", 1)], [("f", "F", "17", ["doc"], [])])],), ([("b.py", "python", [([3, 1], "g", 1)], [("g", "G", "Module", [], [])])],)], scip.SCHEMA)
+    one, two = (scip.documents(raw.where(F.col("documents")[0]["relative_path"] == p)) for p in ("a.py", "b.py"))
+    every = providers.Composite([providers.NoProvider(spark), providers.ScipProvider(one), providers.ScipProvider(one.unionAll(two))])
+    points = spark.createDataFrame([(1, "a.py", 0, 5), (2, "b.py", 3, 0), (3, "c.py", 0, 0)], "point_id bigint, path string, line int, character int")
+    assert sorted(map(tuple, every.definitions(points).select("point_id", "symbol", "path").collect())) == [(1, "f", "a.py"), (2, "g", "b.py")]
+    assert sorted(map(tuple, every.document_symbols().select("symbol", "kind").collect())) == [("f", "file"), ("g", "Module")]
+    assert [tuple(r) for r in every.imports().select("path", "symbol").collect()] == [("b.py", "g")]
+
+
 def test_effects(spark):
     t = spark.createDataFrame([(1, "a.py", 1, "x = session.query(A)\nraise ValueError(x)"), (2, "a.py", 5, "return a + b"), (3, "a.py", 9, "raise KeyError")], "symbol_id int, path string, line int, text string")
     e = effects.function_effects(t)
