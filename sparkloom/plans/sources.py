@@ -298,10 +298,10 @@ def p7_sure_callers(x: Index) -> DataFrame:
 @query("""arcs AS (SELECT target_id AS node, source_id AS next, e.id, arc FROM v_sure e JOIN v_symbols t ON t.id = source_id), one AS (SELECT a.node AS root, next AS node, arg_min(arc, a.id) AS c, min(a.id) AS edge FROM arcs a JOIN v_symbols r ON r.id = a.node WHERE next <> a.node GROUP BY 1, 2),
   two AS (SELECT root, a.next AS node, arg_min(c * arc, {'a': edge, 'b': id}) AS c FROM one JOIN arcs a ON a.node = one.node WHERE a.next <> root GROUP BY 1, 2),
   every AS (SELECT root, node, 1 AS depth, c FROM one UNION ALL SELECT root, node, 2, c FROM two WHERE (root, node) NOT IN (SELECT (root, node) FROM one))
-  SELECT root, CAST(depth AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n, min(node) AS least, max(node) AS most, round(avg(c), 6) AS mean FROM every GROUP BY 1, 2""".replace("(root, node) NOT IN (SELECT (root, node) FROM one)", "NOT EXISTS (SELECT 1 FROM one o WHERE o.root = two.root AND o.node = two.node)"))
+  SELECT root, CAST(depth AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n, min(node) AS least, max(node) AS most, CAST(sum(CAST(round(c * 10000) AS BIGINT)) AS BIGINT) AS sum_e4 FROM every GROUP BY 1, 2""".replace("(root, node) NOT IN (SELECT (root, node) FROM one)", "NOT EXISTS (SELECT 1 FROM one o WHERE o.root = two.root AND o.node = two.node)"))
 def g1_callers_of_all(x: Index) -> DataFrame:
     found = graph.reach(cut(graph.arcs(x.edges, x.symbols)), x.symbols.select(F.col("id").alias("root")), 2)
-    return found.groupBy("root", "depth").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return found.groupBy("root", "depth").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.sum(F.round(F.col("confidence") * 10000).cast("bigint")).alias("sum_e4"))
 
 
 _RANKED = _CALLERS + """, per AS (SELECT s.file_id, count(*) AS symbol_count, coalesce(sum(k), 0) AS fan_in FROM v_symbols s LEFT JOIN callers ON s.id = target_id GROUP BY s.file_id),
