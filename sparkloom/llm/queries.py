@@ -38,7 +38,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.maximal_repeats(table(spark, sf_dir, "documents"))
+    return repeats.occurrences(repeats.maximal_repeats(table(spark, sf_dir, "documents")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

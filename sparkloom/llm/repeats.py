@@ -441,3 +441,8 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
         .select(F.xxhash64("cid").alias("repeat_id"), "n_words", "n_occurrences", "part", "doc_ids", F.expr("transform(doc_ids, d -> 0)").alias("starts"))
     )
     return found.select(F.xxhash64("least_cid", "least_start", "n_words").alias("repeat_id"), "n_words", "n_occurrences", "part", "doc_ids", "starts").union(classes)
+
+
+def occurrences(repeats: DataFrame) -> DataFrame:
+    """(repeat_id, n_words, n_occurrences, doc_id, start) of maximal_repeats(): a row for each occurrence, made in the task that holds its piece."""
+    return repeats.select("repeat_id", "n_words", "n_occurrences", F.inline(F.arrays_zip("doc_ids", "starts")).alias("doc_id", "start"))

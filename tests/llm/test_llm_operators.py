@@ -414,6 +414,27 @@ def test_repeats_of_odd_tables(spark):
     assert {(n, tuple(d for d, _ in occ)) for n, occ in grouped(repeats.maximal_repeats(spark.createDataFrame(control, DOC)))} == {(90, (1, 2, 3))}
 
 
+def test_query_of_repeats_has_a_row_for_each_occurrence(spark, tmp_path):
+    from sparkloom.llm.queries import QUERIES
+
+    rng = random.Random(29)
+    p = prose(rng, 60)
+    texts = {d: f"{prose(rng, 5 + d)} {p} {prose(rng, 7)}" for d in range(4)}
+    texts |= {4: p, 5: prose(rng, 80), 6: prose(rng, 80), 7: f"{p} {prose(rng, 3)} {p}"}
+    copies = {8: texts[1], 9: texts[6]}
+    many = {d: texts[4] for d in range(100, 100 + repeats.PIECE)}  # more copies than a piece holds
+    df = spark.createDataFrame(list((texts | copies | many).items()), DOC)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_maximal_repeats"](spark, str(tmp_path))
+    assert got.dtypes == [("repeat_id", "bigint"), ("n_words", "int"), ("n_occurrences", "bigint"), ("doc_id", "bigint"), ("start", "int")]
+    rows = [tuple(r)[1:] for r in got.collect()]
+    want = brute_repeats(texts, 40)
+    for ds in ([1, 8], [6, 9], [4, *many]):
+        want.add((len(texts[ds[0]].split()), tuple((d, 0) for d in ds)))
+    assert sorted(rows) == sorted((n, len(occ), d, start) for n, occ in want for d, start in occ)
+    assert {d for _, _, d, _ in rows} == set(texts) - {5} | set(copies) | set(many)
+
+
 # --- 8 ---
 
 
