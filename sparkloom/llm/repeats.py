@@ -20,6 +20,8 @@ all its occurrences, in one document or many.
    interval a second stack scan, over the left contexts, gives the sets that agree for l words to the
    left and r to the right; a set is a maximal repeat if it is diverse at both ends. It is
    reported from the anchor that is least in its first window, which every occurrence has.
+   Of the equal grams in a run of one word the first and the last are anchors: a repeat that begins within a run, which
+   may begin earlier in another occurrence, is reported from the last, whose left context holds the whole run.
 
 Hot groups: an anchor of more than `hot_rows` places is not given to one task. The
 root of its interval tree is found by an aggregation (what the least and the
@@ -34,8 +36,8 @@ group. Hashes select and route; comparison is of the words themselves.
 Defined cases: words stand between white space, whose kind and amount don't
 matter; null, empty and short texts have no repeats; rows with a null doc_id are left out; rows that repeat
 a doc_id and text are one document; a doc_id with several texts has the repeats of each;
-a run of one repeated word is represented
-by its start, not by its overlapping parts; other columns are not read;
+a repeat that is nothing but one repeated word is represented
+by the starts of its runs, not by their overlapping parts; other columns are not read;
 an empty table gives an empty result.
 """
 
@@ -61,7 +63,7 @@ HOT_ROWS = 1 << 16
 #: Occurrences in a row of the result.
 PIECE = 1000
 _ANCHORS = "g bigint, cid bigint, pos int, left bigint"
-_CONTEXTS = "node bigint, cid bigint, pos int, left binary, right binary, reign int, doc_id bigint"
+_CONTEXTS = "node bigint, cid bigint, pos int, left binary, right binary, reign bigint, doc_id bigint"
 _FOUND = "least_cid bigint, least_start int, n_words int, n_occurrences bigint, part int, doc_ids array<bigint>, starts array<int>"
 
 
@@ -74,14 +76,16 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(m[: len(x) - w + 1], m[w - k : w - k + len(x) - w + 1]) if k < w else m
 
 
-def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, with_reigns: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, reigns) of the selected grams of all texts; text i has words first[i]:first[i + 1].
+def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, with_reigns: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, spans, reigns) of the selected grams of all texts; text i has words first[i]:first[i + 1].
 
-    A reign is l * window + r for a gram that is below all within l grams to the
-    left, and that none is below within r to the right, both less than the window.
+    In a run of one word grams are equal; its first and last can be selected. A span is the number of grams from one to the
+    other, negative for the last, 0 where there is but one. A reign is (span * window + l) * window + r for a gram that is
+    below all within l grams to the left, and that none is below within r to the right, both less than the window; for the
+    last gram of a run it is span * window - r, below 0.
     """
     g = gram_hashes(h, gram)
-    none = np.zeros(0, np.int64), g[:0], np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64), g[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(g):
         return none
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,10 +100,16 @@ def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, wit
     pad = np.zeros(window - 1, np.uint64)
     highest = _slide(np.concatenate([pad, least, pad]), window, np.maximum)  # over the windows that hold i
     chosen = (g == highest) & whole
-    chosen[1:] &= ~((g[1:] == g[:-1]) & whole[:-1] & (end[1:] == end[:-1]))
+    same = (g[1:] == g[:-1]) & whole[:-1] & (end[1:] == end[:-1])
+    goes_on, came = np.append(same, False), np.append(False, same)
+    chosen &= ~(goes_on & came)
+    spans = np.zeros(len(g), np.int64)
+    begins, ends = np.flatnonzero(goes_on & ~came), np.flatnonzero(came & ~goes_on)
+    spans[begins], spans[ends] = ends - begins, begins - ends
     at = np.flatnonzero(chosen)
+    spans = spans[at]
     if not with_reigns:
-        return at, g[at], none[0]
+        return at, g[at], spans, none[0]
     reach = []
     for way in (-1, 1):
         n, live = np.zeros(len(at), np.int64), np.arange(len(at))
@@ -109,7 +119,7 @@ def select_anchors(first: np.ndarray, h: np.ndarray, gram: int, window: int, wit
             live = live[(other < 0) | (other >= len(g)) | (there > g[at[live]]) | ((there == g[at[live]]) & (way > 0))]  # of equals the first reigns
             n[live] = k
         reach.append(n)
-    return at, g[at], reach[0] * window + reach[1]
+    return at, g[at], spans, np.where(spans < 0, spans * window - reach[1], (spans * window + reach[0]) * window + reach[1])
 
 
 def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
@@ -126,7 +136,7 @@ def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
             for part in slices(batch.filter(pa.array(fresh, pa.bool_()))):
                 w = words(part.column(1), VERBATIM)
                 h = w.hashes()
-                at, g, _ = select_anchors(w.first, h, gram, window, False)
+                at, g, spans, _ = select_anchors(w.first, h, gram, window, False)
                 if not len(at):
                     continue
                 doc = w.doc[at]
@@ -135,6 +145,8 @@ def anchors(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
                 left = range_hash(h, np.maximum(at - window, begin), at)
                 # a text's start differs from any other context
                 left = np.where(at - window < begin, mix(left + cid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), left)
+                # a repeat may begin anywhere in the run that ends here
+                left = np.where(spans < 0, mix((cid ^ (at - begin)).view(np.uint64)), left)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(cid), pa.array((at - begin).astype(np.int32)), pa.array(left.view(np.int64))], ["g", "cid", "pos", "left"])
 
     return texts.mapInArrow(rows, _ANCHORS)
@@ -198,7 +210,7 @@ def maximal_at(r: int, lefts: list[bytes], children: list[int], window: int, min
     order = sorted(range(len(lefts)), key=lefts.__getitem__)
     lcp = [0] + [_common(lefts[x], lefts[y]) for x, y in zip(order, order[1:])]
     for left, i, j in intervals(lcp, len(order)):
-        if left >= window or left + r < min_words:
+        if left + r < min_words:
             continue
         members = order[i : j + 1]
         if len({children[x] for x in members}) > 1:
@@ -210,7 +222,7 @@ def maximal(lefts: list[bytes], rights: list[bytes], window: int, min_words: int
     n = len(rights)
     if n == 2:
         r, left = _common(rights[0], rights[1]), _common(lefts[0], lefts[1])
-        if left < window and left + r >= min_words:
+        if left + r >= min_words:
             yield left, r, [0, 1]
         return
     lcp = [0] + [_common(rights[i - 1], rights[i]) for i in range(1, n)]
@@ -250,10 +262,17 @@ def _found_batches(found: Iterator[tuple[int, np.ndarray]], piece: int) -> Itera
         yield flush()
 
 
-def _reports(left: int, reign: int, window: int) -> bool:
-    """Is an anchor of this reign the least of the first window of a repeat that begins `left` words before it? If not, other occurrences may lack it."""
+def _reports(left: int, right: int, reign: int, window: int, gram: int) -> bool:
+    """Is an anchor of this reign the one that reports a repeat from `left` words before it to `right` after? If not, other occurrences may lack it.
+
+    That is the first of the least grams of the repeat's first window; but the last of its run, if the repeat begins within the run and ends after it.
+    """
+    if reign < 0:
+        span, after = divmod(-reign, window)
+        return left <= span and window - 1 - left <= after and right > gram
     before, after = divmod(reign, window)
-    return left <= before and window - 1 - left <= after
+    span, before = divmod(before, window)
+    return left <= before and window - 1 - left <= after and (left > 0 or span == 0 or right <= span + gram)
 
 
 def trees(suffixes: DataFrame, window: int, min_words: int, piece: int) -> DataFrame:
@@ -262,7 +281,7 @@ def trees(suffixes: DataFrame, window: int, min_words: int, piece: int) -> DataF
     def repeats_of(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
         places = np.array([(x[0], x[1], x[5]) for x in group], np.int64)
         for left, r, who in maximal([x[2] for x in group], [x[3] for x in group], window, min_words):
-            if _reports(left, group[who[0]][4], window):
+            if _reports(left, r, group[who[0]][4], window, min_words - window + 1):
                 yield left + r, places[who] - [0, left, 0]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -287,7 +306,7 @@ def left_trees(rows: DataFrame, window: int, min_words: int, piece: int) -> Data
     def repeats_of(group: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
         places = np.array([(x[1], x[2], x[6]) for x in group], np.int64)
         for left, who in maximal_at(group[0][0], [x[3] for x in group], [x[5] for x in group], window, min_words):
-            if _reports(left, group[who[0]][4], window):
+            if _reports(left, group[0][0], group[who[0]][4], window, min_words - window + 1):
                 yield left + group[0][0], places[who] - [0, left, 0]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -332,7 +351,7 @@ def _with_next(rows: DataFrame, side: str, depth: str, name: str) -> DataFrame:
 
 def split_hot(rows: DataFrame, window: int, min_words: int, hot_rows: int, piece: int) -> DataFrame:
     """_FOUND of rows(_CONTEXTS) whose nodes are each too large for a task."""
-    out = []
+    out, gram = [], min_words - window + 1
     down = lambda x, y: F.xxhash64(x, y)
 
     def sized(df: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -348,20 +367,23 @@ def split_hot(rows: DataFrame, window: int, min_words: int, hot_rows: int, piece
     while True:
         ends = hot.groupBy("node").agg(F.min("right").alias("lo"), F.max("right").alias("hi"))
         hot = cut(_with_next(hot.join(_shared_words(ends, "r"), "node"), "right", "r", "child"))
-        wide = hot.where(F.col("r") + window - 1 >= min_words).drop("right")
+        wide = hot.where((F.col("r") + window - 1 >= min_words) & ((F.col("reign") >= 0) | (F.col("r") > gram))).drop("right")
         while any_row(wide):
             ends = wide.groupBy("node").agg(F.min("left").alias("lo"), F.max("left").alias("hi"), F.min("child").alias("c0"), F.max("child").alias("c1"), F.min(F.struct("cid", "pos")).alias("least"), F.count("*").alias("n"))
             ends = cut(ends)
             wide = cut(_with_next(wide.join(ends.select("node", "c0", "c1", "least", "n"), "node").join(_shared_words(ends, "l"), "node"), "left", "l", "before"))
-            reports = (F.col("l") <= F.floor(F.col("reign") / window)) & (window - 1 - F.col("l") <= F.col("reign") % window)
+            reports = F.expr(  # as _reports()
+                f"if(reign < 0, l <= -reign div {window} and {window - 1} - l <= -reign % {window} and r > {gram}, l <= reign div {window} % {window}"
+                f" and {window - 1} - l <= reign % {window} and (l > 0 or reign < {window * window} or r <= reign div {window * window} + {gram}))"
+            )
             out.append(
-                wide.where((F.col("l") < window) & (F.col("l") + F.col("r") >= min_words) & (F.col("c0") != F.col("c1")) & reports)
+                wide.where((F.col("l") + F.col("r") >= min_words) & (F.col("c0") != F.col("c1")) & reports)
                 .selectExpr("least.cid least_cid", "least.pos - l least_start", "l + r n_words", "n n_occurrences", f"cast(pmod(xxhash64(cid, pos), ceil(n / {piece})) as int) part", "struct(doc_id, pos - l as start) o")
                 .groupBy("least_cid", "least_start", "n_words", "n_occurrences", "part")
                 .agg(F.array_sort(F.collect_list("o")).alias("o"))  # about `piece` of them
                 .select("least_cid", "least_start", "n_words", "n_occurrences", "part", F.col("o.doc_id").alias("doc_ids"), F.col("o.start").alias("starts"))
             )
-            deeper = wide.where(F.col("l") + 1 < window).withColumn("node", down("node", "before")).drop("c0", "c1", "least", "n", "l", "before")
+            deeper = wide.where(f"l + 1 < {window} or l < -reign div {window}").withColumn("node", down("node", "before")).drop("c0", "c1", "least", "n", "l", "before")
             small, wide, more = sized(deeper)
             if not more:
                 break
@@ -393,14 +415,14 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
         """_CONTEXTS of the anchors of this kind."""
 
         def context_batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _CONTEXTS.split(", ")])
 
         def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
                     found = words(part.column(1), VERBATIM)
-                    at, g, reigns = select_anchors(found.first, found.hashes(), gram, window)
+                    at, g, spans, reigns = select_anchors(found.first, found.hashes(), gram, window)
                     bounds = np.searchsorted(at, found.first)
                     rows, size = [], 0
                     for i, (cid, text, marks, doc) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)))):
@@ -408,14 +430,14 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
                         known = {m // 4: m % 4 for m in marks}
                         a, b = bounds[i], bounds[i + 1]
                         reach, follow = len(w), -1
-                        for pos, gram_hash, reign in zip((at[a:b] - found.first[i]).tolist()[::-1], g[a:b].view(np.int64).tolist()[::-1], reigns[a:b].tolist()[::-1]):
+                        for pos, gram_hash, span, reign in zip((at[a:b] - found.first[i]).tolist()[::-1], g[a:b].view(np.int64).tolist()[::-1], spans[a:b].tolist()[::-1], reigns[a:b].tolist()[::-1]):
                             if pos in known:
                                 if follow < 0:
                                     reach = len(w)
                                 elif follow not in known:
                                     reach = min(len(w), follow + window + gram - 1)
                                 if known[pos] == kind:
-                                    rows.append((gram_hash, cid, pos, b"\0".join(w[max(0, pos - window) : pos][::-1]), b"\0".join(w[pos:reach]), reign, doc))
+                                    rows.append((gram_hash, cid, pos, b"\0".join(w[max(0, pos - max(window, 1 - span)) : pos][::-1]), b"\0".join(w[pos:reach]), reign, doc))
                                     size += len(rows[-1][3]) + len(rows[-1][4])
                                     if size > SLICE_BYTES:
                                         yield context_batch(rows)

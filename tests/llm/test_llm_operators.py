@@ -435,6 +435,23 @@ def test_query_of_repeats_has_a_row_for_each_occurrence(spark, tmp_path):
     assert {d for _, _, d, _ in rows} == set(texts) - {5} | set(copies) | set(many)
 
 
+def test_repeats_that_begin_within_a_run_of_one_word(spark):
+    rng = random.Random(31)
+    texts = {}
+    for d in range(40):
+        w = []
+        for _ in range(rng.randrange(2, 6)):
+            w += [rng.choice(["the", "by", "of"])] * rng.choice([1, 3, 4, 5, 6, 9, 14, 30]) + prose(rng, rng.randrange(3), 3).split()
+        texts[d] = " ".join(w) + f" end{d}"
+    mixed = lambda found: {(n, occ) for n, occ in found if len(set(texts[occ[0][0]].split()[occ[0][1] : occ[0][1] + n])) > 1}
+    want = mixed(brute_repeats(texts, 10))
+    assert any(texts[d].split()[at - 1 : at] == texts[d].split()[at : at + 1] for _, occ in want for d, at in occ if at)
+    df = spark.createDataFrame(list(texts.items()), DOC).repartition(3)
+    for hot_rows in (repeats.HOT_ROWS, 6):
+        got = mixed(grouped(repeats.maximal_repeats(df, min_words=10, gram=4, hot_rows=hot_rows)))
+        assert got == want, (hot_rows, sorted(got - want)[:5], sorted(want - got)[:5])
+
+
 # --- 8 ---
 
 
