@@ -80,7 +80,9 @@ def thrown(texts: DataFrame, carry: tuple[str, ...] = ("symbol_id",)) -> DataFra
 def mutations(texts: DataFrame, carry: tuple[str, ...] = ("symbol_id",)) -> DataFrame:
     """carry + (mutation): the different snippets around mutations of global state, up to 20 characters either side."""
     spec = next(s for n, _, s in CATALOGUE if n == "GLOBAL_MUTATION")
-    every = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(rf"(?s)(.{{0,20}}(?-s:{p}).{{0,20}})"), 1) for p in patterns_of(spec)]))
+    # with what may stand before it a pattern is tried some twenty times at each character, so only where it matches at all
+    around = [F.when(F.col("text").rlike(p), F.regexp_extract_all("text", F.lit(rf"(?s)(.{{0,20}}(?-s:{p}).{{0,20}})"), 1)).otherwise(F.array().cast("array<string>")) for p in patterns_of(spec)]
+    every = F.flatten(F.array(*around))
     return texts.select(*carry, F.explode(F.array_distinct(F.transform(every, F.trim))).alias("mutation"))
 
 
