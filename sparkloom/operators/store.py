@@ -56,21 +56,40 @@ def upsert_files(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame
     return updated.unionByName(numbered.select(*old.columns))
 
 
-def with_ids(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """Rows numbered in the given order. Ranges are sorted in parallel and numbered by the counts of those before, so no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+def with_ids(rows: DataFrame, order: list[str], first: int = 1, ranged: bool = False) -> DataFrame:
+    """Rows numbered in the given order. Ranges are sorted in parallel and numbered by the counts of those before, so no task sees all rows.
+
+    ranged: the partitions of `rows` are already ranges of the order's first column,
+    each value in one of them. Otherwise the rows are made twice, to find the ranges and to fill them.
+    """
+    from sparkloom.runtime import cut
+
+    if not ranged:
+        rows = rows.repartitionByRange(*order)
+    return _counted(cut(_located(rows.sortWithinPartitions(*order))), first)  # the numbers must not change if a task is run again
+
+
+def in_order(rows: DataFrame, first: int = 1) -> DataFrame:
+    """Rows numbered as they come, partition by partition."""
     from sparkloom.runtime import cut
 
-    ranged = cut(ranged)  # the numbers must not change if a task is run again
-    counts = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}  # one number for each task
-    before, offsets = first, {}
-    for part in sorted(counts):
-        offsets[part] = before
-        before += counts[part]
-    if not offsets:
-        return ranged.drop("_part", "_at").withColumn("id", F.lit(0).cast("bigint"))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("_part"))
-    return ranged.withColumn("id", (start + F.col("_at")).cast("bigint")).drop("_part", "_at")
+    return _counted(cut(_located(rows)), first)
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+
+
+def _counted(located: DataFrame, first: int) -> DataFrame:
+    counts = {r[0]: r[1] for r in located.groupBy("_part").count().collect()}  # one number for each task
+    if not counts:
+        return located.drop("_part", "_at").withColumn("id", F.lit(0).cast("bigint"))
+    before, starts = first, []
+    for part in range(max(counts) + 1):
+        starts.append(before)
+        before += counts.get(part, 0)
+    start = F.get(F.array(*[F.lit(k) for k in starts]).cast("array<bigint>"), F.col("_part"))
+    return located.withColumn("id", (start + F.col("_at")).cast("bigint")).drop("_part", "_at")
 
 
 def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

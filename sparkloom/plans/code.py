@@ -7,14 +7,14 @@ expression, which Spark and DuckDB evaluate alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import tokens
 from sparkloom.operators import architecture, changes, effects, graph, ingest, modules, packs, ranking, relations, search, store, workspace
 from sparkloom.plans.queries import ROOT, _walk, query
 from sparkloom.plans.views import Index
-from sparkloom.runtime import cut
+from sparkloom.runtime import spread
 from sparkloom.sources import diff, manifests, scip
 from sparkloom.sources.ignore import ignored_with_parents, load_rules
 from sparkloom.streaming.watch import relevant
@@ -140,23 +140,25 @@ def code(sql: str):
     return query(with_code(sql), views=False)
 
 
-def contents(x: Index) -> DataFrame:
-    """(file_id, path, text) of every code file."""
-    return x.raw("part").select(F.col("p_partkey").alias("file_id"), F.expr(_PATH).alias("path"), F.expr(_TEXT).alias("text"))
+def contents(x: Index, by_path: bool = False) -> DataFrame:
+    """(file_id, path, text) of every code file; the texts are made, and parsed, where the keys are sent. by_path: partitions are ranges of paths."""
+    keys = x.raw("part").select("p_partkey", "p_name", "p_size")
+    keys = spread(keys.withColumn("path", F.expr(_PATH)), "path", ranged=True) if by_path else spread(keys, "p_partkey")
+    return keys.select(F.col("p_partkey").alias("file_id"), F.expr(_PATH).alias("path"), F.expr(_TEXT).alias("text"))
 
 
-def parsed(x: Index) -> DataFrame:
-    return ingest.symbols(ingest.lines(contents(x)))
+def parsed(x: Index, by_path: bool = False) -> DataFrame:
+    return ingest.symbols(ingest.lines(contents(x, by_path)))
 
 
 def numbered(x: Index) -> DataFrame:
     """Symbols of the code files with ids, line_start and path."""
-    return cut(store.with_ids(parsed(x).withColumnRenamed("line", "line_start"), ["path", "line_start", "ord"]))
+    return store.with_ids(parsed(x, by_path=True).withColumnRenamed("line", "line_start"), ["path", "line_start", "ord"], ranged=True)
 
 
 def placed(df: DataFrame) -> DataFrame:
     """Rows with their place in the order in which they come."""
-    return df.withColumn("_m", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_m"))).drop("_m")
+    return store.in_order(df).withColumn("place", F.col("id").cast("int")).drop("id")
 
 
 # parsing -------------------------------------------------------------------

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators import effects, ingest, store
+from sparkloom.plans import code
+from sparkloom.plans.views import Index
 from sparkloom.sources import scip
 from tests.plans import rows_of_nodes
+from tests.test_queries import SF
 
 _OCCURRENCE = "path string, at int, symbol string, line int, character int, is_definition boolean"
 _POINT = "point_id bigint, path string, line int, character int"
@@ -32,3 +39,49 @@ def test_reference_counts_makes_no_row_for_each_reference(spark):
         each[r["point_id"], r["symbol"]] = n + 1, k + r["is_definition"]
     assert {(r["point_id"], r["symbol"]): (r["n"], r["n_definitions"]) for r in counted.collect()} == each
     assert max(rows_of_nodes(counted)) < 60_000  # references: 140 thousand
+
+
+def _text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_is_parsed_in_one_pass(spark):
+    """No shuffle of lines, and the function that finds block ends stands in the plan once."""
+    files = spark.createDataFrame([(1, "a.py", "class A:\n    def f(self):\n        pass\ndef g(): pass\n    def h(): pass"), (2, "b.py", "x = 1"), (3, "c.cpp", "namespace n {\nclass K {\n};\n}"), (4, "d.go", "package p")], "file_id bigint, path string, text string")
+    found = ingest.symbols(ingest.lines(files))
+    plan = _text(found)
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r["file_id"], r["line"], r["name"], r["kind"], r["parent_name"]) for r in found.collect() if r["parent_name"]) == [(1, 2, "f", "method", "A"), (1, 5, "h", "method", "A")]
+    assert sorted((r["file_id"], r["name"], r["kind"]) for r in found.where("kind <> 'method'").collect()) == [(1, "A", "class"), (1, "g", "function"), (2, "b", "file"), (3, "K", "class"), (3, "n", "namespace"), (4, "d", "file")]
+
+
+def test_work_on_files_is_shared_out(spark, monkeypatch):
+    monkeypatch.setattr("sparkloom.runtime.ROWS", 20)
+    x = Index(spark, SF)
+    n = -(-x.raw("part").count() // 20)
+    assert n > 4 and code.contents(x).rdd.getNumPartitions() == n
+    symbols = code.numbered(x)
+    assert symbols.rdd.getNumPartitions() > 4
+    ordered = [r["id"] for r in symbols.orderBy("path", "line_start", "ord").select("id").collect()]
+    assert ordered == list(range(1, len(ordered) + 1))
+
+
+def test_ids_follow_the_order_of_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")).repartitionByRange(7, "k")
+    for got in (store.with_ids(rows, ["k"], 5, ranged=True), store.in_order(rows.sortWithinPartitions("k"), 5)):
+        assert {r["k"]: r["id"] for r in got.collect()} == {k: k + 5 for k in range(1000)}
+
+
+@pytest.mark.parametrize("text", ['CONFIG["a"] = x', "global  n; sys.path", "a" * 500, "x = [1] + {}\ny = {2}", "", None])
+def test_mutations_are_those_of_the_plain_pattern(spark, text):
+    texts = spark.createDataFrame([(1, text)], "symbol_id int, text string")
+    spec = effects.patterns_of(next(s for n, _, s in effects.CATALOGUE if n == "GLOBAL_MUTATION"))
+    plain = [F.regexp_extract_all("text", F.lit(rf"(?s)(.{{0,20}}(?-s:{p}).{{0,20}})"), 1) for p in spec]
+    want = texts.select(F.explode(F.array_distinct(F.transform(F.flatten(F.array(*plain)), F.trim))).alias("m"))
+    assert sorted(r["mutation"] for r in effects.mutations(texts).collect()) == sorted(r["m"] for r in want.collect())
+
+
+def test_mutations_look_before_they_capture(spark):
+    """The costly pattern stands behind the plain one."""
+    texts = spark.createDataFrame([(1, "x")], "symbol_id int, text string")
+    assert _text(effects.mutations(texts)).count("RLIKE") == 7
