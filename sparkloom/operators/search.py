@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions.stem import stem, stem_column, words
 
 K1, B = 1.2, 0.75
+#: Shares of the postings of a term where many are joined with them.
+SHARES = 32
 _TOKEN = re.compile(r'\s*(?:(\()|(\))|"([^"]*)"(\*?)|(\^?)([\w]+)(\*?))', re.UNICODE)
 
 
@@ -176,11 +178,15 @@ def blast_radius(changed: DataFrame, symbols: DataFrame, index: DataFrame, per_s
     need = terms.groupBy("changed_name").agg(F.count("*").alias("need"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    # a term may stand in most texts: its postings are dealt out to SHARES, each with all names that ask for it
+    asked_for = terms.join(df, "term").join(need, "changed_name").select("changed_name", "term", "need", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    posted = index.select("term", "doc_id", "tf").join(lengths(index), "doc_id").select("term", "doc_id", "tf", "length", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share"))
+    said = posted.join(asked_for, ["term", "share"]).select("changed_name", "doc_id", "need", weight.alias("weight"))
     hit = (
-        terms.join(index.select("term", "doc_id", "tf"), "term").join(df, "term").join(lengths(index), "doc_id")
-        .groupBy("changed_name", "doc_id").agg(F.count("*").alias("have"), F.sum(weight).alias("score"))
-        .join(need, "changed_name").where("have = need")
+        said.repartition("changed_name", "doc_id")  # so that no task counts all pairs of its share before they are sent
+        .groupBy("changed_name", "doc_id").agg(F.count("*").alias("have"), F.max("need").alias("need"), F.sum("weight").alias("score"))
+        .where("have = need")
     )
     from pyspark.sql import Window
 

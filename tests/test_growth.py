@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import effects, ingest, store
+from sparkloom.operators import effects, ingest, search, store
 from sparkloom.plans import code
 from sparkloom.plans.views import Index
-from sparkloom.sources import scip
+from sparkloom.sources import diff, scip
 from tests.plans import rows_of_nodes
 from tests.test_queries import SF
 
@@ -85,3 +85,25 @@ def test_mutations_look_before_they_capture(spark):
     """The costly pattern stands behind the plain one."""
     texts = spark.createDataFrame([(1, "x")], "symbol_id int, text string")
     assert _text(effects.mutations(texts)).count("RLIKE") == 7
+
+
+def test_lines_of_diffs_are_neither_sent_nor_sorted(spark):
+    text = "+++ b/x.py\r\n@@ -1 +1 @@\n-a\n+++ y.py\n@@ -2,3 +2 @@ f\n+++ "
+    diffs = spark.createDataFrame([(1, text), (2, None), (3, "")], "diff_id int, text string")
+    rows = diff.diff_lines(diffs)
+    assert "Window" not in _text(rows) and "Exchange" not in _text(rows)
+    got = [(r["at"], r["path"], r["hunk"]) for r in rows.where("diff_id = 1").orderBy("at").collect()]
+    assert got == [(0, "x.py", 0), (1, "x.py", 1), (2, "x.py", 1), (3, "y.py", 1), (4, "y.py", 2), (5, "y.py", 2)]
+    files = diff.changed_files(diffs.unionAll(diffs))
+    assert "Window" not in _text(files)
+    assert sorted((r["diff_id"], r["path"]) for r in files.collect()) == [(1, "x.py"), (1, "y.py")]
+
+
+def test_postings_of_a_common_word_are_shared_out(spark):
+    """All names hold one word, and many ask for it: its join and the counts after it are split."""
+    names = spark.createDataFrame([(k, f"common w{k % 50}") for k in range(2000)], "id bigint, name string")
+    found = search.blast_radius(names.where("id < 50").select("name"), names, search.postings(names), per_symbol=3)
+    assert "share#" in _text(found)
+    assert found.count() == 0  # all texts with both words have the same name
+    other = search.blast_radius(spark.createDataFrame([("common",), ("W7 common",), (None,)], "name string"), names, search.postings(names), per_symbol=3)
+    assert sorted((r["changed_name"], r["symbol_id"]) for r in other.collect()) == [("W7 common", 7), ("W7 common", 57), ("W7 common", 107), ("common", 0), ("common", 1), ("common", 2)]
