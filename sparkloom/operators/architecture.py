@@ -109,10 +109,10 @@ def layer_sizes(contents: DataFrame) -> DataFrame:
 
 def patterns(contents: DataFrame) -> DataFrame:
     """(pattern, found) of each architectural pattern, in one scan."""
-    layer = layer_of(F.col("path"), F.col("text"))
-    flags = [F.max(F.when(layer == x, 1).otherwise(0)).alias(f"has_{x}") for x in sorted({y for _, ys in BY_LAYERS for y in ys})]
+    own = contents.select("text", layer_of(F.col("path"), F.col("text")).alias("layer"))  # found once, asked for by each flag
+    flags = [F.max(F.when(F.col("layer") == x, 1).otherwise(0)).alias(f"has_{x}") for x in sorted({y for _, ys in BY_LAYERS for y in ys})]
     texts = [F.max(F.when(_all(F.col("text"), ps), 1).otherwise(0)).alias(f"text_{k}") for k, (_, ps) in enumerate(BY_TEXT)]
-    one = contents.agg(*flags, *texts)
+    one = own.agg(*flags, *texts)
     by_layers = [F.struct(F.lit(name).alias("pattern"), (sum((F.coalesce(F.col(f"has_{x}"), F.lit(0)) for x in ys), F.lit(0)) == len(ys)).alias("found")) for name, ys in BY_LAYERS]
     by_text = [F.struct(F.lit(name).alias("pattern"), (F.coalesce(F.col(f"text_{k}"), F.lit(0)) == 1).alias("found")) for k, (name, _) in enumerate(BY_TEXT)]
     return one.select(F.explode(F.array(*by_layers, *by_text)).alias("x")).select("x.pattern", "x.found")

@@ -107,3 +107,8 @@ def test_postings_of_a_common_word_are_shared_out(spark):
     assert found.count() == 0  # all texts with both words have the same name
     other = search.blast_radius(spark.createDataFrame([("common",), ("W7 common",), (None,)], "name string"), names, search.postings(names), per_symbol=3)
     assert sorted((r["changed_name"], r["symbol_id"]) for r in other.collect()) == [("W7 common", 7), ("W7 common", 57), ("W7 common", 107), ("common", 0), ("common", 1), ("common", 2)]
+
+
+def test_conditions_on_texts_are_tested_where_the_files_are_sent(spark):
+    plan = _text(code.contents(Index(spark, SF)).where(F.col("text").rlike("needle")))
+    assert 0 < plan.index("needle") < plan.index("Exchange")  # the plan has its source last
