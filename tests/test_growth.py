@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import effects, ingest, search, store
-from sparkloom.plans import code
+from sparkloom.plans import code, sources
 from sparkloom.plans.views import Index
 from sparkloom.sources import diff, scip
 from tests.plans import rows_of_nodes
@@ -112,3 +112,14 @@ def test_postings_of_a_common_word_are_shared_out(spark):
 def test_conditions_on_texts_are_tested_where_the_files_are_sent(spark):
     plan = _text(code.contents(Index(spark, SF)).where(F.col("text").rlike("needle")))
     assert 0 < plan.index("needle") < plan.index("Exchange")  # the plan has its source last
+
+
+def test_targets_are_found_without_edges(spark, monkeypatch):
+    """Neither call is resolved nor an edge numbered to look a symbol up; a zoom makes its edges once."""
+    made = []
+    resolve = ingest.resolve_calls
+    monkeypatch.setattr(ingest, "resolve_calls", lambda *a: made.append(a) or resolve(*a))
+    x = Index(spark, SF)
+    assert set(sources._named_tables(x)) == {"files", "symbols"} and not made
+    edges = sources._code_tables(x)["edges"]
+    assert len(made) == 1 and edges.select("id").distinct().count() == edges.count() > 0
